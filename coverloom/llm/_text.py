@@ -83,18 +83,25 @@ class Block:
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
 
-    def _prefix(self) -> np.ndarray:
-        up, _ = _BYTE_POWERS.upto(len(self.data) + 1)
-        out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[:-1], out=out[1:])
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans in ascending order; the length takes part.
+
+        Spans are taken a megabyte at a time, so that the 64-bit prefix sums stay small.
+        """
+        out = np.empty(len(starts), dtype=np.uint64)
+        low = 0
+        while low < len(starts):
+            base = starts[low]
+            high = max(low + 1, int(np.searchsorted(starts, base + BLOCK_BYTES)))
+            s, e = starts[low:high] - base, ends[low:high] - base
+            part = self.data[base : base + int(e.max())]
+            up, down = _BYTE_POWERS.upto(len(part) + 1)
+            prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUE[part] * up[:-1], out=prefix[1:])
+            out[low:high] = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
+            low = high
         return out
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of byte spans; the length takes part."""
-        prefix = self._prefix() if prefix is None else prefix
-        _, down = _BYTE_POWERS.upto(len(self.data) + 1)
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
     def word_hashes(self) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends)
 

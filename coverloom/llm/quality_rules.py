@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import Block, blocks, covered, gram_hashes, mix, per_doc, ranges, repeats
+from ._text import Block, blocks, covered, gram_hashes, mix, per_doc, repeats
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -51,8 +51,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": per_doc(_SYMBOL[block.data], block.offsets)}
     own = np.maximum(word_chars, 1)
 
-    prefix = block._prefix()
-    hashes = block.span_hashes(block.starts, block.ends, prefix)
+    hashes = block.word_hashes()
     salt = mix(np.arange(block.n_docs, dtype=np.uint64) + np.uint64(1))
     for n in NGRAM_LIMITS:
         at, grams = gram_hashes(hashes, block.word_offsets, n)
@@ -70,7 +69,7 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     first_word = np.searchsorted(block.starts, starts)
     worded = np.searchsorted(block.starts, ends) > first_word
     rows = np.flatnonzero(worded)
-    _, again = repeats(block.span_hashes(starts[rows], ends[rows], prefix) ^ salt[line_doc[rows]])
+    _, again = repeats(block.span_hashes(starts[rows], ends[rows]) ^ salt[line_doc[rows]])
     n_lines = np.bincount(line_doc[rows], minlength=block.n_docs)
     out["n_dup_lines"] = np.bincount(line_doc[rows[again]], minlength=block.n_docs).astype(np.int64)
     out["dup_line_share"] = out["n_dup_lines"] / np.maximum(n_lines, 1)
