@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _digests, decontaminate, license_scan, lm_scoring, packing, quality_rules, sharding, token_counts, token_files
+from . import _digests, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, token_counts, token_files
 from ._spark import load
 
 
@@ -14,6 +14,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_metrics(load(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_best_fit_packing": op6_best_fit_packing,
