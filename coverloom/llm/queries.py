@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _digests, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, token_counts, token_files
+from . import _digests, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from ._spark import load
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.repeated_passages(load(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "start", "end", (spans["end"] - spans["start"]).alias("n_words"), "later")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
