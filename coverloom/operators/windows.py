@@ -13,7 +13,7 @@ def heading_stack(rows: DataFrame, doc: str, offset: str) -> DataFrame:
     rows has level (null for other rows) and title. A shallower heading clears the deeper ones.
     """
     upto = W.partitionBy(doc).orderBy(offset).rowsBetween(W.unboundedPreceding, 0)
-    slot = F.least(F.col("level"), F.lit(3))
+    slot = F.when(F.col("level").isNotNull(), F.least(F.col("level"), F.lit(3)))
     out = rows
     for k in (1, 2, 3):
         out = out.withColumn(f"_t{k}", F.last(F.when(slot == k, F.col("title")), ignorenulls=True).over(upto)).withColumn(f"_o{k}", F.last(F.when(slot == k, F.col(offset)), ignorenulls=True).over(upto))
