@@ -1,6 +1,36 @@
-"""Queries on file sources, over texts of the driver's tables."""
+"""Queries on text scans over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import files, grounding
+from .corpus import load
+
+
+def mention_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage as a mention, with the passage's item."""
+    docs = load(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    lexicon = load(spark, sf_dir, "benchmark").select(F.lower("text").alias("form"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("element_id"))
+    return grounding.scan(docs, lexicon).select("path", "element_id").distinct()
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "pages")
+    return rows.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r"(<h1[ >])"), F.lit(1))).cast("long").alias("h1"))
+
+
+def detected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".rst")).alias("path"), "text")
+    return files.detect(docs).select("adapter", "files", F.array_join("samples", ",").alias("samples"))
+
+
+QUERIES = {"mention_scan": mention_scan, "page_titles": page_titles, "detected_sources": detected_sources}
+
+ORACLE_SQL = {
+    "mention_scan": "SELECT DISTINCT concat('d', CAST(doc_id AS STRING)) AS path, concat('b', CAST(item_id AS STRING)) AS element_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))",
+    "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS h1 FROM pages",
+    "detected_sources": """WITH p AS (SELECT concat(source, '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.rst' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'markdown' ELSE 'rst' END AS adapter FROM documents)
+        SELECT adapter, count(*) AS files, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT path FROM p q WHERE q.adapter = p.adapter ORDER BY path LIMIT 5)) AS samples FROM p GROUP BY adapter""",
+}
