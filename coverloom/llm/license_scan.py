@@ -52,7 +52,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     n = known.count()
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), canonical(F.col(text_col)).alias("c"))
     # line 0 is the entire text; of the other lines only those that match go on, so little is shuffled
-    lines = F.concat(F.array(one_line(F.col("c"))), F.transform(F.split("c", "\n"), F.trim))
+    lines = F.concat(F.array(one_line(F.col("c"))), F.transform(F.split("c", "\n"), lambda x: F.trim(x)))
     listed = base.select("row", "doc_id", F.posexplode(lines).alias("line", "words")).where((F.col("line") == 0) | (F.col("words") != ""))
     digested = listed.select("row", "doc_id", (F.col("line") == 0).alias("entire"), F.sha2("words", 256).alias("digest"))
     wanted = known.select(F.col("digest").alias("known_digest"), F.col("whole"), "license_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _digests, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from . import _digests, decontaminate, license_scan, lm_scoring, near_dedup, oracles, packing, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from ._spark import load
 
 
@@ -66,4 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": oracles.LICENSE_SCAN,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}
