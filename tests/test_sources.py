@@ -111,3 +111,27 @@ def test_incremental_scan(spark, tmp_path):
         spark.createDataFrame([("a.bats", bytearray(body), version)], "path string, content binary, version long").write.mode("append").parquet(folder)
         reindex(changed_files(spark, folder), registry.Adapter("bats"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [r.name for r in latest(spark, str(tmp_path / "out")).collect()] == ["two"]
+
+
+def test_external_source(spark, tmp_path):
+    import sys
+
+    from coverloom.sources.external import external, frame, unframe
+
+    assert unframe(frame({"a": 1})) == {"a": 1}
+    with pytest.raises(ValueError, match="frame"):
+        unframe(b"\x00\x00\x00\x09{}")
+    script = tmp_path / "plugin.py"
+    script.write_text("import json, struct, sys\nraw = sys.stdin.buffer.read()\nask = json.loads(raw[4:])\nout = json.dumps({'protocol_version': 1, 'tests': [{'test_id': f['path'], 'line': len(f['text'])} for f in ask['files']]}).encode()\nsys.stdout.buffer.write(struct.pack('>I', len(out)) + out)\n")
+    rows = spark.createDataFrame([("a", "xyz"), ("b", "")], "path string, text string")
+    assert sorted((r.test_id, r.line) for r in external(rows, [sys.executable, str(script)], "tests").collect()) == [("a", 3), ("b", 0)]
+
+
+def test_mentions_claim_the_longest_form(spark):
+    from coverloom.sources import grounding
+
+    docs = spark.createDataFrame([("d", "# Open Dir\nThe open dir and opens, `open`.")], "path string, text string")
+    lexicon = spark.createDataFrame([("open", "e1"), ("open dir", "e2"), ("open dir", "e3")], "form string, element_id string")
+    got = sorted((r.offset, r.element_id, r.anchor) for r in grounding.scan(docs, lexicon).collect())
+    assert got == [(2, "e2", "heading"), (2, "e3", "heading"), (15, "e2", "prose"), (15, "e3", "prose"), (28, "e1", "prose"), (36, "e1", "backtick")]
+    assert grounding.forms("ReleaseImageService", frozenset({"service"})) == ["releaseimageservice", "release image service", "image service"]
