@@ -68,5 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": oracles.LICENSE_SCAN,
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op3_near_dedup": oracles.NEAR_DEDUP,
+    "op4_quality_rules": oracles.QUALITY_RULES,
     "op9_decontamination": oracles.DECONTAMINATION,
 }
