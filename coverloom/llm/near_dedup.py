@@ -5,11 +5,12 @@ band of the signature are candidates. A candidate pair is compared a batch of ha
 and dropped as soon as the posterior probability of reaching the threshold falls below MISS; survivors
 are confirmed on their full shingle sets.
 
-No group's pairs are listed. In each bucket the member that shares most buckets with others (a hub,
-such as the text that copies were made from) is tested against the rest, first each document with its
-best hub, then with its other ones. Only where a bucket still holds several components are pairs
-across them tested, all of them, so no link that candidates allow is lost: pairs never tested lie in
-one component already. A hub's partners are dealt over several tasks.
+No group's pairs are listed. In each bucket every member is tested against one hub, the member that
+shares most buckets with others (such as the text that copies were made from). Only where a bucket
+still holds several components are pairs across them considered, all of them, so no link that
+candidates allow is lost: pairs never considered lie in one component already. Of these, exact bounds
+rule out most within the join: from the shingles that a text shares with no other, and from the
+shingles of their hub that the two lack. A hub's partners are dealt over several tasks.
 
 Defined cases: a text without words, or null, has no shingles and stays alone; a text of fewer words
 than a shingle is one shingle; rows of equal id and equal text count as that document again; a null
@@ -25,7 +26,6 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._spark import small, table
@@ -39,6 +39,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 PARTNERS_PER_TASK = 1000
+#: Pairs with fewer equal signature values are far below the threshold and get no facts.
+NEAR_MATCHES = 48
 MAX_BROADCAST_ROWS = 1_000_000
 #: Pairs of one-bit values agree with probability (1 + J) / 2; six standard deviations below that of the threshold.
 SKETCH_AGREE = 89
@@ -132,14 +134,15 @@ def possible(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((met >= _LEAST).all())
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test on full sets of distinct shingles."""
-    inter = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * inter >= PERCENT * (len(a) + len(b) - inter)
+MISSING = 512
+_FACTS = "a long, b long, n_a long, n_b long, shared long, linked boolean, " + ", ".join(f"miss{i} long" for i in range(MISSING // 64))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. a is a hub: its row precedes its partners' in each task that has some."""
+def compare(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """For pairs (a, b) that are fairly near: set sizes, shared shingles, whether they are linked, and a bitmap of a's shingles that b lacks.
+
+    a is a hub: its row precedes its partners' in each task that has some.
+    """
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("hub"), F.ceil(F.col("n") / PARTNERS_PER_TASK).cast("int").alias("shares"))
     dealt = pairs.join(sized, F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
     hubs = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
@@ -147,24 +150,35 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     rows = wanted.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("id") == F.col("r")).join(texts, F.col("id") == F.col("text_id"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("hub", "share", "kind", "id", "sig", "text").repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", "kind", "id")
+    names = [f.split()[0] for f in _FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_sig, hub_set = None, None, None
+        hub, hub_sig, hub_set = 0, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint64)
         for batch in batches:
             kinds, ids = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             sigs = [np.frombuffer(x, dtype=np.uint32) for x in batch.column(4).to_pylist()]
-            found: list[tuple[int, int]] = []
+            found: list[tuple] = []
+            maps: list[np.ndarray] = []
             for block in blocks(batch.column(5), lower=True):
                 grams, offsets = shingles(block)
                 for d in range(block.n_docs):
                     i = block.first + d
                     if kinds[i] == 0:
                         hub, hub_sig, hub_set = int(ids[i]), sigs[i], np.unique(grams[offsets[d] : offsets[d + 1]])
-                    elif possible(hub_sig, sigs[i]) and similar(hub_set, np.unique(grams[offsets[d] : offsets[d + 1]])):
-                        found.append((hub, int(ids[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+                    elif int((hub_sig == sigs[i]).sum()) >= NEAR_MATCHES:
+                        own = np.unique(grams[offsets[d] : offsets[d + 1]])
+                        shared = np.isin(hub_set, own, assume_unique=True)
+                        n = int(shared.sum())
+                        linked = possible(hub_sig, sigs[i]) and 100 * n >= PERCENT * (len(hub_set) + len(own) - n)
+                        found.append((hub, int(ids[i]), len(hub_set), len(own), n, linked))
+                        bits = np.zeros(MISSING, dtype=np.uint8)
+                        bits[(hub_set[~shared] % np.uint64(MISSING)).astype(np.int64)] = 1
+                        maps.append(np.packbits(bits).view(np.int64))
+            if found:
+                columns = [pa.array(c) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.copy()) for c in np.array(maps).T)], names)
+
+    return rows.mapInArrow(run, _FACTS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,30 +193,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = reps.dropDuplicates(["rep"])
 
     listed = reps.select("rep", F.explode("bands").alias("key")).distinct()
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = table(listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared")
     buckets = table(listed.join(shared, "key"), "buckets")
     weight = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
     weighted = buckets.join(weight.withColumnRenamed("rep", "w_rep"), F.col("rep") == F.col("w_rep")).drop("w_rep")
-    hub = weighted.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
-    stars = weighted.join(hub, F.col("key") == F.col("k")).where(F.col("rep") != -F.col("top.minus"))
-    stars = stars.groupBy((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("top.weight").alias("weight"))
-    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("met"), F.desc("weight"), "a"))  # a document has BANDS hubs at most
-    stars = table(stars.withColumn("place", best), "stars")
+    top = weighted.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"))
+    hubs = table(top.select("k", (-F.col("top.minus")).alias("hub")), "hubs")
+    stars = buckets.join(hubs, F.col("key") == F.col("k")).where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = table(stars, "stars")
 
     ids = buckets.select(F.col("rep").alias("wanted")).distinct()
     n_ids = ids.count()
     texts = docs.select(docs[id_col].cast("long").alias("text_id"), docs[text_col].alias("text")).join(small(ids, n_ids, MAX_BROADCAST_ROWS), F.col("text_id") == F.col("wanted"), "left_semi")
     texts = table(texts.groupBy("text_id").agg(F.max("text").alias("text")) if _repeats(sets) else texts, "texts")
 
-    links = table(verify(stars.where("place = 1").select("a", "b"), reps, texts), "links")
-    roots = connected_components(links)
-    apart = _across(stars.where("place > 1").select("a", "b"), roots)
-    more = table(verify(apart, reps, texts), "links")
-    if more.limit(1).count():
-        roots = connected_components(_stars_of(roots).unionByName(more))
-    rest = table(_remaining(buckets, reps, roots, stars), "candidates")
+    facts = table(compare(stars, reps, texts), "facts")
+    roots = connected_components(facts.where("linked"))
+    rest = table(_remaining(buckets, hubs, reps, roots, facts, stars, texts), "candidates")
     if rest.limit(1).count():
-        roots = connected_components(_stars_of(roots).unionByName(verify(rest, reps, texts)))
+        roots = connected_components(_stars_of(roots).unionByName(compare(rest, reps, texts).where("linked").select("a", "b")))
 
     out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select(F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), "rep"), (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     out = out.join(roots, F.col("rep") == F.col("u"), "left")
@@ -223,21 +232,55 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFram
     return out.withColumn(name, F.coalesce("_root", node)).drop("_u", "_root")
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    both = _rooted(_rooted(pairs, roots, "a", "root_a"), roots, "b", "root_b")
-    return both.where(F.col("root_a") != F.col("root_b")).select("a", "b")
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(rep, n, own): the size of each text's shingle set, and how many of its shingles no other text here has."""
 
-
-def _remaining(buckets: DataFrame, reps: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs across components in buckets that hold several; one-bit sketches rule most out within the join."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), lower=True):
+                grams, offsets = shingles(block)
+                doc = np.repeat(np.arange(block.n_docs), np.diff(offsets))
+                _, later = repeats(grams ^ mix(np.arange(block.n_docs, dtype=np.uint64) + np.uint64(1))[doc])
+                rows = pa.array(block.first + doc[~later])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(grams[~later].view(np.int64))], ["rep", "shingle"])
+
+    listed = texts.select("text_id", "text").mapInArrow(run, "rep long, shingle long")
+    met = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    sizes = listed.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    alone = met.where("n = 1").groupBy(F.col("rep").alias("alone_rep")).agg(F.count(F.lit(1)).alias("own"))
+    return sizes.join(alone, F.col("rep") == F.col("alone_rep"), "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _remaining(buckets: DataFrame, hubs: DataFrame, reps: DataFrame, roots: DataFrame, facts: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
+    """Untested pairs across components in buckets that hold several, without those that bounds rule out in the join.
+
+    Two texts share at most what either shares with others at all. And with their hub's set h, they
+    share the part of h that both have, plus at most what both added and share with others; what
+    either lacks of h is counted from bitmaps, never too high. Both bounds are exact; the one-bit
+    sketches are far below the threshold's spread.
+    """
     rooted = _rooted(buckets.select("key", "rep"), roots, "rep", "root")
     mixed = rooted.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    rows = rooted.join(mixed.select("k"), F.col("key") == F.col("k"), "left_semi")
-    rows = rows.join(reps.select(F.col("rep").alias("r"), "sketch_a", "sketch_b"), F.col("rep") == F.col("r")).drop("r")
-    x = rows.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("sketch_a").alias("xa"), F.col("sketch_b").alias("xb"))
-    y = rows.select(F.col("key").alias("key2"), F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("sketch_a").alias("ya"), F.col("sketch_b").alias("yb"))
-    differ = F.bit_count(F.col("xa").bitwiseXOR(F.col("ya"))) + F.bit_count(F.col("xb").bitwiseXOR(F.col("yb")))
-    pairs = x.join(y, (F.col("key") == F.col("key2")) & (F.col("root_a") < F.col("root_b")) & (differ <= HASHES - SKETCH_AGREE)).select("a", "b").distinct()
+    rows = table(rooted.join(mixed.select("k"), F.col("key") == F.col("k"), "left_semi"), "mixed")
+    members = rows.select(F.col("rep").alias("m")).distinct()
+    bounds = own_shingles(texts.join(members, F.col("text_id") == F.col("m"), "left_semi"))
+    known = reps.select("rep", "sketch_a", "sketch_b").join(bounds.withColumnRenamed("rep", "bound_rep"), F.col("rep") == F.col("bound_rep")).drop("bound_rep").withColumnRenamed("rep", "r")
+    # whoever can't reach the threshold with anyone leaves before pairs are looked at; pairs with hubs are tested
+    rows = rows.join(known, F.col("rep") == F.col("r")).drop("r").where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
+    rows = rows.join(hubs, F.col("key") == F.col("k")).drop("k").where("rep <> hub")
+    maps = [f"miss{i}" for i in range(MISSING // 64)]
+    rows = rows.join(facts.select("a", "b", "n_a", "shared", *maps), (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left")
+    side = lambda p: [F.col("key").alias(f"{p}_key"), F.col("rep").alias(f"{p}_rep"), F.col("root").alias(f"{p}_root"), F.col("sketch_a").alias(f"{p}_a"), F.col("sketch_b").alias(f"{p}_b"), F.col("n").alias(f"{p}_n"), (F.col("n") - F.col("own")).alias(f"{p}_most"), F.col("n_a").alias(f"{p}_hub"), (F.col("n") - F.col("shared") - F.col("own")).alias(f"{p}_added"), *(F.col(m).alias(f"{p}_{m}") for m in maps)]
+    x, y = rows.select(*side("x")), rows.select(*side("y"))
+    differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("y_a"))) + F.bit_count(F.col("x_b").bitwiseXOR(F.col("y_b")))
+    reach = lambda most: 100 * most >= PERCENT * (F.col("x_n") + F.col("y_n") - most)
+    lacked = F.lit(0)
+    for m in maps:
+        lacked = lacked + F.bit_count(F.col(f"x_{m}").bitwiseOR(F.col(f"y_{m}")))
+    by_hub = F.coalesce(reach(F.col("x_hub") - lacked + F.least("x_added", "y_added")), F.lit(True))
+    by_hub = F.when(F.col("x_hub").isNull() | F.col("y_hub").isNull(), F.lit(True)).otherwise(by_hub)
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_root") < F.col("y_root")) & reach(F.least("x_most", "y_most")) & (differ <= HASHES - SKETCH_AGREE) & by_hub)
+    pairs = pairs.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
     return pairs.join(done, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
 
