@@ -104,8 +104,9 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    els, rows = corpus.elements(spark, sf_dir), evidence_rows(spark, sf_dir)
-    own = evidence.profiles(els, rows)
+    # evidence and profiles have several readers here, so they are written once
+    els, rows = corpus.elements(spark, sf_dir), graph.cut(evidence_rows(spark, sf_dir))
+    own = graph.cut(evidence.profiles(els, rows))
     parts = [
         findings.documented_untested(own),
         findings.tested_undocumented(own),
@@ -130,8 +131,8 @@ SQL_FINDINGS = """found AS (SELECT concat('documented-untested:DOCUMENTED_UNTEST
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an element with its flags, as all rollups use it."""
-    els, rows = corpus.elements(spark, sf_dir), evidence_rows(spark, sf_dir)
-    own = evidence.profiles(els, rows)
+    els, rows = corpus.elements(spark, sf_dir), graph.cut(evidence_rows(spark, sf_dir))
+    own = graph.cut(evidence.profiles(els, rows))
     times = relation(spark, sf_dir, "git_times")
     stale = times.where(F.expr("code_ts div 86400 - doc_ts div 86400 > 2000")).select(F.lit("STALE_DOC").alias("kind"), F.col("id").alias("subject"))
     drift = rollups.drift(findings.tested_undocumented(own).select("kind", "subject").unionByName(stale))
