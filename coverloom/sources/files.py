@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.globs import SKIPPED_DIRS, included, matches_any
+from ..session import reachable
 
 ELEMENTS = "id string, kind string, ecosystem string, library string, path string, line int, doc string, type string, default_value string, aliases array<string>, edges array<struct<kind:string,target:string>>"
 TESTS = "test_id string, framework string, name string, path string, line int, name_tokens array<string>, refs array<string>"
@@ -21,6 +22,7 @@ Parser = Callable[..., Iterator[dict]]
 
 def read_files(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
     """(path, content) of files below root; paths are relative, and build and version folders are skipped."""
+    reachable(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace("path", "^.*?" + "\\Q" + base.removeprefix("file:") + "\\E", "")
