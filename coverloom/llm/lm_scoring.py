@@ -1,15 +1,19 @@
 """Operator 10: language-model scores from a weighted backoff automaton over words.
 
-States are histories of one word: the beginning of a text, and each word with a share of at least
-1 / STATES of all training tokens (so there are STATES at most, whatever the corpus). Arcs between them
-carry discounted bigram probabilities; a failure arc carries the state's backoff weight to the state
-without history, whose arcs are the smoothed frequencies of all training words. Unknown words are one
-event there, as in the base score. A text is read once from left to right: each token follows its arc
-or the failure arc, the weights add up, and the token's own state comes next.
-
-Counts of words are shuffled sums over the whole corpus and are neither collected nor broadcast. Tokens
-of the HEAD most frequent words find their counts in memory (a fixed size), all others by a join with
-the table of all words; both ways give the same figures. The bigram arcs are STATES squared at most.
+States are histories of one word: the beginning of a text, and every word of the training documents.
+Arcs between them carry discounted bigram probabilities; a failure arc carries the state's backoff weight
+to the state without history, whose arcs are the smoothed frequencies of all training words. Unknown words
+are one event there, as in the base score. A text is read once from left to right: each token follows its
+arc or the failure arc, the weights add up, and the token's own state comes next.
+
+Counts of words and of word pairs are shuffled over the whole corpus and are neither collected nor
+broadcast. Tokens of the HEAD most frequent words find their counts in memory (a fixed size), all others by
+a join with the table of all words, where pairs that end in such a word are counted too. Of the other
+pairs, those between words with a share of at least 1 / STATES of all training tokens are a cache in
+memory (STATES squared at most); the rest meet in buckets of histories, as many as the tokens ask for, and
+a history with over SPLIT tokens is dealt by its successors. Only held-out documents meet pairs without an
+arc. Their backoff weights come from the kinds and the smoothed mass of all successors of a history.
+With `states` the model itself is cut to histories of that share, and all other words are one successor.
 
 Defined cases: a null or empty text is the end alone; documents with equal ids and equal rows are
 scored row by row; without training documents every token is unknown; an empty table gives no rows;
@@ -18,19 +22,21 @@ other columns never take part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import table
-from ._text import Block, blocks, per_doc, ranges
+from ._text import Block, blocks, mix, per_doc, ranges
 
 STATES = 2048
 HEAD = 1 << 18
+BUCKET_TOKENS = 1 << 21
+SPLIT = 1 << 16
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 7, 2
 
@@ -49,9 +55,9 @@ def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, held_out): held out are ids whose crc32 falls in one of FOLDS folds."""
+    """(key, doc_id, text, held_out): key tells rows apart by id and text; held out are ids whose crc32 falls in one of FOLDS folds."""
     fold = F.crc32(F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (fold == HELD_OUT).alias("held_out"))
+    return docs.select(F.xxhash64(docs[id_col].cast("long"), docs[text_col]).alias("key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (fold == HELD_OUT).alias("held_out"))
 
 
 def word_counts(folded: DataFrame) -> DataFrame:
@@ -88,8 +94,10 @@ class BackoffAutomaton:
         self.arcs = pairs[arc][order]
         own = pair_counts[arc][order]
         self.weights = np.log10((own - DISCOUNT) / total[history[arc][order]])
+        self.kinds = np.bincount(history[arc], minlength=self.begin + 1)
         seen = np.bincount(history[arc], weights=pair_counts[arc] - DISCOUNT, minlength=self.begin + 1)
         covered = np.bincount(history[arc], weights=plain[successor[arc]], minlength=self.begin + 1)
+        self.covered = covered
         with np.errstate(divide="ignore", invalid="ignore"):
             self.backoff = np.where(total > 0, np.log10((1 - seen / total) / np.maximum(1 - covered, 1e-12)), 0.0)
 
@@ -144,11 +152,53 @@ def pair_counts(folded: DataFrame, hashes: np.ndarray) -> DataFrame:
     return train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-_PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, states: int = STATES) -> DataFrame:
+_PARTS = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long, h long"
+_BUCKETS = "bucket long, keys binary, held binary, h binary, n binary, x binary, d binary"
+_MET = "key long, h long, n long, v double"
+
+
+def _pairs_met(counts: np.ndarray, machine: BackoffAutomaton, large: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: (key, -, -, v) scores of documents, (key, h, n, -) pairs without an arc, (-, h, n, v) kinds and mass of histories."""
+
+    def run(t: pa.Table) -> pa.Table:
+        col = lambda name, kind: [np.frombuffer(v, dtype=kind) for v in t.column(name).to_pylist()]
+        keys, held, d = col("keys", np.int64), col("held", bool), col("d", np.uint32)
+        first = np.cumsum([0, *(len(k) for k in keys)])
+        doc = np.concatenate([x.astype(np.int64) + o for x, o in zip(d, first, strict=False)])
+        keys, held = np.concatenate(keys), np.concatenate(held)
+        h = np.repeat(np.concatenate(col("h", np.int64)), np.concatenate(col("n", np.uint32)))
+        x = np.concatenate(col("x", np.int32))
+        order = np.lexsort((x, h))
+        h, x, doc = h[order], x[order], doc[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+        group, gh, gx = np.cumsum(new) - 1, h[new], x[new]
+        k = np.bincount(group, weights=~held[doc])
+        plain = machine.plain(counts[gx])
+        value = np.where(gx < 0, 0.0, np.where(k > 0, np.log10(np.maximum(k, 1) - DISCOUNT), plain))
+        score = np.bincount(doc, weights=value[group], minlength=len(keys))
+        met = np.flatnonzero(np.bincount(doc, minlength=len(keys)))
+        missed = np.flatnonzero(((k == 0) & (gx >= 0))[group])
+        own, at = np.unique(gh, return_inverse=True)
+        kinds = np.bincount(at, weights=k > 0).astype(np.int64)
+        mass = np.bincount(at, weights=np.where(k > 0, 10.0**plain, 0.0))
+        # a history that lies in one bucket is asked for only where a held-out document has it without an arc
+        wanted = np.flatnonzero((kinds > 0) & ((np.bincount(at, weights=k == 0) > 0) | np.isin(own, large)))
+        none = lambda n, kind: pa.nulls(n, kind)
+        parts = [
+            [pa.array(keys[met]), none(len(met), pa.int64()), none(len(met), pa.int64()), pa.array(score[met])],
+            [pa.array(keys[doc[missed]]), pa.array(h[missed]), pa.array(np.ones(len(missed), dtype=np.int64)), none(len(missed), pa.float64())],
+            [none(len(wanted), pa.int64()), pa.array(own[wanted]), pa.array(kinds[wanted]), pa.array(mass[wanted])],
+        ]
+        return pa.concat_tables([pa.table(p, names=["key", "h", "n", "v"]) for p in parts])
+
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, states: int | None = None, cached: int = STATES, bucket_tokens: int = BUCKET_TOKENS, split: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+    spark, whole = docs.sparkSession, states is None
+    share = cached if whole else states
     folded = folds(docs, id_col, text_col)
     n_docs = folded.where(~F.col("held_out")).count()
     words = table(word_counts(folded), "words")
@@ -156,50 +206,126 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train_tokens, kinds = (sums["tokens"] or 0) + n_docs, sums["kinds"] + (n_docs > 0)
     norm = float(np.log10(train_tokens + kinds + 1))
 
-    hashes, counts = _hashed(_head(words, max(head, states)))
-    frequent = counts * states >= max(train_tokens, 1)
-    pairs = pair_counts(folded, hashes[frequent]).toArrow()  # (states + 2) squared rows at most
+    hashes, counts = _hashed(_head(words, max(head, share)))
+    frequent = counts * share >= max(train_tokens, 1)
+    pairs = pair_counts(folded, hashes[frequent]).toArrow()  # (share + 2) squared rows at most
     machine = BackoffAutomaton(hashes[frequent], counts[frequent], n_docs, train_tokens, kinds, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())
     end_base, end_known = float(np.log10(n_docs + 1)) - norm, int(n_docs > 0)
     end_plain = float(machine.plain(np.array([n_docs]))[0])
+    n_buckets = -(-train_tokens // bucket_tokens) + 1
+    end = len(hashes)  # the successor code of a text's end; its beginning is the history 0
+    known_counts = np.append(counts, n_docs).astype(np.int64)
+    large_ones = np.append(hashes, np.uint64(0)).astype(np.uint64).view(np.int64)[known_counts > split]
+
+    def looked_up(block: Block) -> tuple:
+        unique, first, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(hashes, unique), max(end - 1, 0))
+        found = hashes[at] == unique if end else np.zeros(len(unique), dtype=bool)
+        c = np.where(found, counts[at], 0) if end else np.zeros(len(unique), dtype=np.int64)
+        history, successor, offsets = paths(block, machine.states(unique)[back], machine.begin)
+        weight, plain = machine.walk(history, successor)
+        return unique, first, back, at, found, c, offsets, weight, plain
+
+    def before(block: Block, values: np.ndarray, begin: int) -> np.ndarray:
+        """For each token, ends included, the value of its history."""
+        return np.concatenate((np.array([begin], dtype=values.dtype), np.insert(values, block.word_offsets[1:], begin)[:-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for block in blocks(batch.column(1), lower=True, limit=1 << 21):
-                yield from parts(block, batch, row)
-                row += block.n_docs
+            for block in blocks(batch.column(2), lower=True, limit=1 << 21):
+                yield from parts(block, batch)
 
-    def parts(block: Block, batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+    def parts(block: Block, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, names = block.n_docs, [f.split()[0] for f in _PARTS.split(", ")]
-        unique, first, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(hashes, unique), max(len(hashes) - 1, 0))
-        found = hashes[at] == unique if len(hashes) else np.zeros(len(unique), dtype=bool)
-        c = np.where(found, counts[at], 0) if len(hashes) else np.zeros(len(unique), dtype=np.int64)
-        history, successor, offsets = paths(block, machine.states(unique)[back], machine.begin)
-        weight, plain = machine.walk(history, successor)
-        # tokens outside the head add their arc without history after the join
-        own = np.insert(np.where(found, machine.plain(c), 0.0)[back], block.word_offsets[1:], end_plain)
+        unique, first, back, at, found, c, offsets, weight, plain = looked_up(block)
+        if whole:
+            # arcs of the cache, else the total of a history in memory; the other weights come after the shuffles
+            total = before(block, c[back], n_docs)
+            score = np.where(plain, np.where(total > 0, -np.log10(np.maximum(total, 1)), 0.0), weight)
+        else:
+            # tokens outside the head add their arc without history after the join
+            score = weight + np.insert(np.where(found, machine.plain(c), 0.0)[back], block.word_offsets[1:], end_plain) * plain
         add = lambda v, o: np.diff(np.concatenate(([0.0], np.cumsum(v)))[o])
         base = add((np.where(found, np.log10(c + 1) - norm, 0.0))[back], block.word_offsets) + end_base
         known = per_doc((c > 0)[back], block.word_offsets) + end_known
-        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(add(weight + own * plain, offsets)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+        keys, held = batch.column(0).slice(block.first, n), batch.column(3).slice(block.first, n)
+        yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(block.first, n), held, pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(add(score, offsets)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         rest = np.flatnonzero(~found[back])
-        key, tf = np.unique(block.word_doc()[rest] * np.int64(len(unique)) + back[rest], return_counts=True)
-        if len(key):
-            doc, word = key // len(unique), key % len(unique)
-            spelled = _spans(block.data, block.starts[first[word]], block.ends[first[word]])
-            empty = [pa.nulls(len(key), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(row + doc), *empty, spelled, pa.array(tf.astype(np.int64))], names)
+        if not len(rest):
+            return
+        doc, word = block.word_doc()[rest], back[rest]
+        if whole:
+            h, tf = before(block, unique[back], 0)[rest + doc].view(np.int64), np.ones(len(rest), dtype=np.int64)
+        else:
+            key, tf = np.unique(doc * np.int64(len(unique)) + word, return_counts=True)
+            doc, word, h = key // len(unique), key % len(unique), np.zeros(len(key), dtype=np.int64)
+        spelled = _spans(block.data, block.starts[first[word]], block.ends[first[word]])
+        empty = [pa.nulls(len(doc), t) for t in (pa.int64(), pa.float64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.nulls(len(doc), pa.int64()), held.take(pa.array(doc)), pa.nulls(len(doc), pa.int64()), *empty, spelled, pa.array(tf.astype(np.int64)), pa.array(h)], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), lower=True, limit=1 << 22):
+                unique, _, back, at, found, c, offsets, _, rest = looked_up(block)
+                held = np.asarray(batch.column(2).slice(block.first, block.n_docs).to_numpy(zero_copy_only=False), dtype=bool)
+                keys = batch.column(0).slice(block.first, block.n_docs).to_numpy()
+                doc = np.repeat(np.arange(block.n_docs, dtype=np.uint32), np.diff(offsets))
+                x = np.insert(np.where(found, at, -1)[back], block.word_offsets[1:], end)
+                # a successor outside the head counts in the join with all words; held-out documents still ask for its history
+                use = np.flatnonzero(rest & ((x >= 0) | held[doc]))
+                if not len(use):
+                    continue
+                h, x, doc = before(block, unique[back], 0)[use], x[use].astype(np.int32), doc[use]
+                large = before(block, c[back], n_docs)[use] > split
+                bucket = np.where(large, mix(h ^ mix(x.astype(np.uint64) + np.uint64(1))), h) % np.uint64(n_buckets)
+                order = np.lexsort((h, bucket))
+                h, x, doc, bucket = h[order].view(np.int64), x[order], doc[order], bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(n_buckets)))
+                out: list[list] = [[] for _ in range(7)]
+                for low, high in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                    turn = low + np.concatenate(([0], np.flatnonzero(np.diff(h[low:high])) + 1))
+                    docs_met, d = np.unique(doc[low:high], return_inverse=True)
+                    row = (int(bucket[low]), keys[docs_met], held[docs_met], h[turn], np.diff(np.append(turn, high)).astype(np.uint32), x[low:high], d.astype(np.uint32))
+                    for to, v in zip(out, row, strict=True):
+                        to.append(v if isinstance(v, int) else v.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(v, pa.binary()) for v in out[1:])], [f.split()[0] for f in _BUCKETS.split(", ")])
 
     scored = table(folded.mapInArrow(run, _PARTS), "score-parts")
-    local = scored.where(F.col("word").isNull()).drop("word", "tf")
-    rare = scored.where(F.col("word").isNotNull()).select("row", "word", "tf").join(words.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w"))
+    local = scored.where(F.col("word").isNull()).drop("word", "tf", "h")
+    rare = scored.where(F.col("word").isNotNull()).select("key", "held_out", "word", "tf", "h").join(words.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w"))
     total = train_tokens + machine.n_kinds
-    plain = F.log10(F.when(F.col("c") > 0, F.col("c")).otherwise(machine.n_kinds) / F.lit(float(total)))
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * (F.log10(F.col("c") + 1) - norm)).alias("base"), (F.col("tf") * plain).alias("score"))
-    out = local.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    share_of = F.when(F.col("c") > 0, F.col("c")).otherwise(machine.n_kinds) / F.lit(float(total))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def added(df: DataFrame, score: Column, known: Column | None = None, base: Column | None = None) -> DataFrame:
+        zero = F.lit(0).cast("long")
+        return df.select("key", none("long").alias("doc_id"), none("boolean").alias("held_out"), zero.alias("n_tokens"), (zero if known is None else known).alias("n_known"), (F.lit(0.0) if base is None else base).alias("base"), score.alias("score"))
+
+    known, base = F.when(F.col("c") > 0, F.col("tf")).otherwise(0), F.col("tf") * (F.log10(F.col("c") + 1) - norm)
+    if whole:
+        in_training = F.when(F.col("held_out"), 0).otherwise(F.col("tf"))
+        rare = table(rare.withColumn("k", F.sum(in_training).over(Window.partitionBy("word", "h"))).select("key", "held_out", "tf", "h", "c", "k"), "rare-pairs")
+        met = table(folded.select("key", "text", "held_out").mapInArrow(deal, _BUCKETS).groupBy("bucket").applyInArrow(_pairs_met(known_counts, machine, large_ones), _MET), "pair-parts")
+        own_total = F.when(F.col("c") > 0, -F.log10("c")).otherwise(0.0)
+        arc = F.when(F.col("k") > 0, F.log10(F.col("k") - DISCOUNT)).otherwise(F.log10(share_of))
+        part = in_training / F.col("k")  # the training rows of a pair add up to one kind
+        cache = pa.table({"h": np.append(machine.hashes, np.uint64(0)).astype(np.uint64).view(np.int64), "n": machine.kinds.astype(float), "v": machine.covered})
+        histories = met.where(F.col("key").isNull()).select("h", F.col("n").cast("double").alias("n"), "v")
+        histories = histories.unionByName(rare.where((F.col("k") > 0) & ~F.col("held_out")).select("h", part.alias("n"), (part * share_of).alias("v")))
+        histories = histories.unionByName(spark.createDataFrame(cache)).groupBy(F.col("h").alias("of")).agg(F.round(F.sum("n")).alias("kinds"), F.sum("v").alias("mass"))
+        missed = met.where(F.col("key").isNotNull() & F.col("h").isNotNull()).select("key", "h", "n").unionByName(rare.where(F.col("k") == 0).select("key", "h", F.col("tf").alias("n")))
+        missed = missed.join(histories.where("kinds > 0"), F.col("h") == F.col("of"))
+        out = local.unionByName(added(rare, F.col("tf") * (own_total + arc), known, base))
+        out = out.unionByName(added(met.where(F.col("h").isNull()), F.col("v")))
+        out = out.unionByName(added(missed, F.col("n") * F.log10(F.lit(DISCOUNT) * F.col("kinds") / (F.lit(1.0) - F.col("mass")))))
+    else:
+        out = local.unionByName(added(rare, F.col("tf") * F.log10(share_of), known, base))
+    # rows of equal ids and texts share a key and have equal figures
+    copies = F.count("held_out").alias("copies")
+    out = out.groupBy("key").agg(copies, F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    per = lambda c: F.col(c) / F.col("copies")
+    return out.select("doc_id", "held_out", per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score"))
 
 
 def _hashed(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -312,6 +312,40 @@ def test_lm_scoring(docs, rows, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_lm_scoring_gathers_all_pairs(spark, rows):
+    rows = [*rows, rows[5], (200, "w7é Word1, never Word2, Word1,"), (211, rows[5][1] + " once w7é once")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = [(i, words((t or "").translate(LOW))) for i, t in rows]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in own}
+    c, pairs = Counter(), Counter()
+    for i, w in own:
+        if not held[i]:
+            c.update([*w, None])
+            pairs.update(zip(["<s>", *w], [*w, None], strict=True))
+    n, v = sum(c.values()), len(c)
+    plain = lambda x: (c[x] or v) / (n + v)
+    total, kinds, cover = Counter(), Counter(), defaultdict(float)
+    for (h, x), k in pairs.items():
+        total[h] += k
+        kinds[h] += 1
+        cover[h] += plain(x)
+    want = []
+    for i, w in own:
+        score = 0.0
+        for h, x in zip(["<s>", *w], [*w, None], strict=True):
+            if pairs[h, x]:
+                score += math.log10((pairs[h, x] - 0.5) / total[h])
+            else:
+                score += math.log10(plain(x)) + (math.log10(0.5 * kinds[h] / total[h] / (1 - cover[h])) if total[h] else 0)
+        want.append((i, len(w) + 1, sum(c[x] > 0 for x in [*w, None]), score))
+    assert any(held[i] and len(w) > 20 for i, w in own)
+    for args in ({}, {"head": 50, "cached": 32, "bucket_tokens": 900, "split": 20}, {"head": 5, "cached": 1, "bucket_tokens": 1 << 20, "split": 1 << 20}):
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in lm_scoring.score_documents(frame, **args).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], rel=1e-9)
+    assert lm_scoring.score_documents(frame.where("doc_id < 0")).count() == 0
+
+
 def test_license_scan(spark, empty):
     mit = TEXTS["MIT"]
     rows = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(" ", "  ")), (2, mit + " extra"), (3, "x\nReleased under the MIT Licence.\ny"), (4, None), (5, TEXTS["ISC"]), (5, TEXTS["ISC"]), (6, "!!")]
