@@ -6,6 +6,11 @@ window occurs where the lists of all its terms, adjusted by their offsets, inter
 from their rarest term by posting count, so frequent terms are only looked up at the few places that a
 rare one leaves. DataFrame operations only; the text is read once and never shuffled.
 
+Proximity matches come from postings of the benchmark's single words: a window is near where SPAN words
+of a document hold all of its distinct words but a share of MISSING, in any order. Such a place holds one
+of the window's rarest words (one more than may be missing), so only their postings open places, and the
+other words are looked up around those. `contamination` judges by exact windows; `matches` has both kinds.
+
 Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased. Defined cases: a null or
 empty text has no words and is never contaminated; an item without words has no window, and items with
 equal texts or windows all count; rows with equal ids are judged on their own texts; an empty table on
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from ._spark import small, table
 
 WINDOW = 10
+SPAN = 15
+MISSING = 0.2
 MAX_BROADCAST_ROWS = 1_000_000
 _GAPS = "".join(chr(c) for c in (*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)) if c != 0x20)
 
@@ -103,6 +110,49 @@ def occurrences(postings: DataFrame, wterms: DataFrame) -> DataFrame:
     return starts
 
 
+def word_postings(docs: DataFrame, wins: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, pos, word): every place of a word that a benchmark window has."""
+    needed = wins.select(F.explode("words").alias("known")).distinct()
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), words(F.col(text_col)).alias("w")).dropDuplicates(["doc_id", "version"])
+    placed = base.select("doc_id", "version", F.posexplode("w").alias("pos", "word"))
+    return placed.join(small(needed, needed.count(), MAX_BROADCAST_ROWS), F.col("word") == F.col("known"), "left_semi")
+
+
+def proximity(postings: DataFrame, wins: DataFrame, span: int = SPAN, missing: float = MISSING) -> DataFrame:
+    """(window_id, doc_id, version, start, end, n_words): places of at most `span` words with enough of a window's distinct words."""
+    asked = wins.select("window_id", F.array_distinct("words").alias("words")).dropDuplicates(["window_id"])
+    asked = asked.withColumn("free", F.floor(F.size("words") * missing).cast("int")).withColumn("need", F.size("words") - F.col("free"))
+    asked = asked.select("window_id", "free", "need", F.explode("words").alias("word"))
+    counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = asked.join(counts, "word", "left").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy(F.coalesce("n", F.lit(0)), "word")))
+    ranked = table(ranked, "window-words")
+    n = ranked.count()
+    opening = ranked.where(F.col("rank") <= F.col("free") + 1).select("window_id", "word")
+    opened = postings.join(small(opening, n, MAX_BROADCAST_ROWS), "word").select("window_id", "doc_id", "version", F.col("pos").alias("at")).distinct()
+    around = opened.withColumn("cell", F.explode(F.array(*(F.floor(F.col("at") / span) + k for k in (-1, 0, 1)))))
+    rest = ranked.select(F.col("window_id").alias("wid"), F.col("word").alias("wanted"), "need")
+    around = around.join(small(rest, n, MAX_BROADCAST_ROWS), F.col("window_id") == F.col("wid"))
+    lists = postings.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "pos", "word", F.floor(F.col("pos") / span).alias("c"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("cell") == F.col("c")) & (F.col("wanted") == F.col("word"))
+    met = around.join(lists, same & (F.abs(F.col("pos") - F.col("at")) < span))
+    # 2 * span - 1 places at most
+    met = met.groupBy("window_id", "doc_id", "version", "at", "need").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("hits"))
+    within = lambda s: F.filter("hits", lambda x: (x["pos"] >= s) & (x["pos"] < s + span))
+    firsts = F.transform(F.filter("hits", lambda x: (x["pos"] <= F.col("at")) & (x["pos"] > F.col("at") - span)), lambda x: x["pos"])
+    held = F.transform(firsts, lambda s: F.struct(F.size(F.array_distinct(F.transform(within(s), lambda x: x["word"]))).alias("n_words"), (-s).alias("back"), F.array_max(F.transform(within(s), lambda x: x["pos"])).alias("last")))
+    best = met.withColumn("best", F.array_max(held)).where(F.col("best.n_words") >= F.col("need"))
+    return best.select("window_id", "doc_id", "version", (-F.col("best.back")).alias("start"), (F.col("best.last") + 1).alias("end"), "best.n_words").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN, missing: float = MISSING, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, version, item_id, kind, start, end): every exact phrase and every proximity match; end is after the last word."""
+    wins = table(windows(benchmark, window, item_id_col, item_text_col), "windows")
+    wterms = window_terms(wins)
+    exact = occurrences(table(build_index(docs, wterms, id_col, text_col), "postings"), wterms).select("window_id", "doc_id", "version", F.lit("phrase").alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"))
+    near = proximity(table(word_postings(docs, wins, id_col, text_col), "word-postings"), wins, span, missing).select("window_id", "doc_id", "version", F.lit("proximity").alias("kind"), "start", "end")
+    return exact.unionByName(near).join(wins.select("window_id", "item_id"), "window_id").select("doc_id", "version", "item_id", "kind", "start", "end").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document: n_words, n_hit, n_items, items_sha256, contaminated, version."""
     wins = table(windows(benchmark, window, item_id_col, item_text_col), "windows")

@@ -277,6 +277,24 @@ def test_decontamination(spark, docs, rows, empty):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_decontamination_by_proximity(spark):
+    rnd = random.Random(5)
+    item = [f"q{i}" for i in range(24)]
+    changed = [x if i % 9 != 4 else "other" for i, x in enumerate(item)]
+    longer = [y for i, x in enumerate(item) for y in ([x, "added"] if i % 8 == 3 else [x])]
+    noise = lambda n: [f"z{rnd.randrange(50)}" for _ in range(n)]
+    texts = {1: noise(20) + item + noise(20), 2: noise(31) + changed + noise(9), 3: noise(7) + longer, 4: noise(60), 5: [y for x in item for y in (x, "a", "b")], 6: list(reversed(item)), 7: None, 8: item[:6], 9: noise(80) + ["q3", "q3"]}
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Solo"), (3, None)], "item_id long, text string")
+    found = decontaminate.matches(docs, bench).collect()
+    wins = [set(item[s : s + 10]) for s in range(15)]
+    near = {(i, s) for i, w in texts.items() for s in range(len(w or [])) for k in wins if w[s] in k and len(k & set(w[s : s + 15])) >= 8}
+    got = {(r.doc_id, r.start) for r in found if r.kind == "proximity"}
+    assert got <= near and {i for i, _ in got} == {i for i, _ in near} == {1, 2, 3, 6}
+    assert {(r.doc_id, r.start, r.end) for r in found if r.kind == "phrase"} == {(1, 20 + s, 30 + s) for s in range(15)}
+    assert {r.item_id for r in found} == {1}
+
+
 def test_lm_scoring(docs, rows, empty):
     got = {r.doc_id: r for r in lm_scoring.score_documents(docs, head=50, states=32).collect()}
     own = {i: words((t or "").translate(LOW)) for i, t in rows}
