@@ -26,7 +26,7 @@ def q_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark, sf_dir, "documents").select(F.explode(T.search_tokens(F.substring("text", 1, 1 << 20))).alias("w")).distinct()
+    words = load(spark, sf_dir, "documents").select(F.explode(T.search_tokens(F.col("text"))).alias("w")).distinct()
     return words.select("w", F.array_join(F.array_sort(T.stems(F.array("w"), F.array(F.lit("tions"), F.lit("ment")))), ",").alias("stems"))
 
 
