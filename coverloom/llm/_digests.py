@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._spark import arrow_map
 from ._tokens import crc32s
 
 
@@ -25,4 +26,4 @@ def with_ids_crc32(df: DataFrame, ids: str = "ids") -> DataFrame:
             columns[at] = pa.array(crc32s(np.asarray(lists.values), offsets))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

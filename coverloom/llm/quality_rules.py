@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import arrow_map
 from ._text import Block, blocks, covered, gram_hashes, mix, per_doc, repeats
 
 MIN_WORDS = 20
@@ -85,22 +86,19 @@ def measure(block: Block) -> dict[str, np.ndarray]:
     return out | {"kept": kept}
 
 
-def _measure_all(texts: pa.Array) -> dict[str, np.ndarray]:
-    parts = [measure(b) for b in blocks(texts)]
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-
 def repetition_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of figures and the verdict for each row of docs; one pass, no shuffle."""
     names = [f.split()[0] for f in SCHEMA.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = _measure_all(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(got[n]) for n in names)], ["doc_id", *names])
+            ids = batch.column(0).cast(pa.int64())
+            for block in blocks(batch.column(1)):
+                got = measure(block)
+                yield pa.RecordBatch.from_arrays([ids.slice(block.first, block.n_docs), *(pa.array(got[n]) for n in names)], ["doc_id", *names])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return arrow_map(slim, run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,7 +107,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_measure_all(batch.column(at))["kept"]))
+            for block in blocks(batch.column(at)):
+                yield batch.slice(block.first, block.n_docs).filter(pa.array(measure(block)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
