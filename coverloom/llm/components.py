@@ -27,5 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop_table(edges)
         edges = after_edges
         if after == before:
-            return edges.select("u", F.col("v").alias("root"))
+            out = edges.select("u", F.col("v").alias("root"))
+            out._coverloom_path = edges._coverloom_path
+            return out
         before = after

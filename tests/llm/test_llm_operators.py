@@ -246,6 +246,31 @@ def test_near_dedup_of_rows_alike(spark):
     assert sorted((r.doc_id for r in near_dedup.keep_one(df).collect()), key=str) == [1, 7, None]
 
 
+def test_near_dedup_of_equal_ids_with_other_texts(spark):
+    rnd = random.Random(8)
+    a, b = (" ".join(f"w{rnd.randrange(900)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (1, b), (5, a + " word"), (6, b + " word"), (6, b + " word"), (7, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1), (6, 1), (7, 1), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()), key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
+
+
+def test_near_dedup_of_variants_around_the_threshold(spark):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(70):
+        own = list(base)
+        for _ in range(rnd.choice([1, 3, 5, 7, 8])):
+            own[rnd.randrange(150)] = f"x{rnd.randrange(6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
+    want = _components(rows)
+    assert got == want and 1 < len({c for _, c, _ in want.values()}) < 40
+
+
 def test_posterior_bound():
     assert near_dedup.least_matches(16) < 12 * 0.75 and near_dedup.least_matches(128) > 64
 
