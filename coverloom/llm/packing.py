@@ -7,14 +7,15 @@ of lengths (one counter a length, fixed by the window) and gets runs of (length,
 offset); its work doesn't grow with the number of documents. Ranks come from counts by task and
 length, so no length's rows ever meet in one task.
 
-Defined cases: a null or empty text is one piece with the end id only; repeated rows are packed as
-rows of their own; an empty table gives no rows; very long texts become many pieces.
+Defined cases: a null or empty text is one piece with the end id only; repeated rows and rows of equal id
+are packed as rows of their own; a null id stays null; an empty table gives no rows; a very long text
+becomes many pieces; other columns never take part, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import arrow_map, table
 from ._text import ranges
 from ._tokens import encode_batch, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
+RUN = 1000
+MAX_BROADCAST_ROWS = 1_000_000
 _PIECES = "doc_id long, start long, length int, doc_tokens long, task int, local_rank long, ids array<int>"
 
 
@@ -51,10 +54,14 @@ def pieces(docs: DataFrame, window: int, tokenizer: str, end_id: int, id_col: st
                 rank = np.empty(len(length), dtype=np.int64)
                 rank[order] = ranges(seen, sizes)
                 seen += sizes
-                lists = pa.ListArray.from_arrays(pa.array(np.append(offsets[:-1][doc] + start, offsets[-1]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids_col.slice(first, last - first).take(pa.array(doc)), pa.array(start), pa.array(length, pa.int32()), pa.array(n[doc]), pa.array(np.full(len(doc), task, dtype=np.int32)), pa.array(rank), lists], [f.split()[0] for f in _PIECES.split(", ")])
+                begins = pa.array(np.append(offsets[:-1][doc] + start, offsets[-1]), pa.int32())
+                own = [ids_col.slice(first, last - first).take(pa.array(doc)), pa.array(start), pa.array(length, pa.int32()), pa.array(n[doc])]
+                place = [pa.array(np.full(len(doc), task, dtype=np.int32)), pa.array(rank)]
+                lists = pa.ListArray.from_arrays(begins, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*own, *place, lists], [f.split()[0] for f in _PIECES.split(", ")])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, _PIECES)
+    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return arrow_map(slim, run, _PIECES)
 
 
 class _Capacities:
@@ -127,17 +134,40 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> list[tuple[int,
     return runs
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, doc_tokens, ids) with their sequence_id and offset."""
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", of_pieces: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pieces (doc_id, start, length, doc_tokens, ids) with their sequence_id and offset.
+
+    `of_pieces` maps the written pieces before they meet their places, such as ids to a digest of them.
+    """
     spark = docs.sparkSession
     cut = table(pieces(docs, window, tokenizer or tokenizer_path(), end_id, id_col, text_col), "pieces", compression="zstd")
-    by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
-    bases = by_task.select(F.col("length").alias("_length"), F.col("task").alias("_task"), F.coalesce(before, F.lit(0)).cast("long").alias("_base"))
+    by_task = table(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length at most
     runs = best_fit_decreasing(counts, window)
     packed = json.dumps([{"l": a, "lo": b, "hi": c, "w": d, "at": e} for a, b, c, d, e in runs])
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(packed), "array<struct<l:int,lo:long,hi:long,w:long,at:long>>")))
-    ranked = cut.join(bases, (F.col("length") == F.col("_length")) & (F.col("task") == F.col("_task"))).withColumn("_rank", F.col("_base") + F.col("local_rank"))
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", (F.col("w") + F.col("_rank") - F.col("lo")).alias("sequence_id"), F.col("at").alias("offset"), "ids")
+    ranked = _ranked(of_pieces(cut) if of_pieces else cut, by_task)
+    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    rest = [c for c in placed.columns if c not in {"doc_id", "start", "length", "doc_tokens", "task", "local_rank", "rank", "l", "lo", "hi", "w", "at"}]
+    sequence = (F.col("w") + F.col("rank") - F.col("lo")).alias("sequence_id")
+    return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", sequence, F.col("at").alias("offset"), *rest)
+
+
+def _ranked(cut: DataFrame, by_task: DataFrame) -> DataFrame:
+    """cut with the rank of each piece among all of its length: that in its task after those of the tasks before.
+
+    Tasks' counts are broadcast up to MAX_BROADCAST_ROWS; beyond that, pieces of one length and task meet them
+    in runs of RUN, since all full windows of a task have one length.
+    """
+    before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
+    base = F.coalesce(before, F.lit(0)).cast("long").alias("base")
+    bases = by_task.select(F.col("length").alias("own_length"), F.col("task").alias("own_task"), "n", base)
+    same = (F.col("length") == F.col("own_length")) & (F.col("task") == F.col("own_task"))
+    if by_task.count() <= MAX_BROADCAST_ROWS:
+        bases = F.broadcast(bases)
+    else:
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run")
+        bases = bases.select("own_length", "own_task", "n", "base", runs)
+        same &= F.floor(F.col("local_rank") / RUN) == F.col("run")
+    joined = cut.join(bases, same)
+    return joined.select(*(joined[c] for c in cut.columns), (F.col("base") + F.col("local_rank")).alias("rank"))

@@ -32,7 +32,7 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests.with_ids_crc32(packing.pack(load(spark, sf_dir, "documents")))
+    return packing.pack(load(spark, sf_dir, "documents"), of_pieces=_digests.with_ids_crc32)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

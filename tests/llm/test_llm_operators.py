@@ -404,3 +404,16 @@ def test_pipeline(spark):
     assert stages == ["quality_rules", "near_dedup", "suffix_dedup", "decontamination", "packing"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.agg(F.count_distinct("doc_id")).first()[0] > 100
+
+
+def test_packing_meets_its_places_by_shuffle(docs, monkeypatch):
+    near = lambda: sorted((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in packing.pack(docs, window=64, of_pieces=_digests.with_ids_crc32).collect())
+    broadcast = near()
+    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(packing, "RUN", 7)
+    got = packing.pack(docs, window=64, of_pieces=_digests.with_ids_crc32)
+    assert near() == broadcast
+    spans = defaultdict(list)
+    for r in got.collect():
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in s) == max(o + n for o, n in s) <= 64 for s in spans.values())
