@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their places in sequences of 2048."""
-    return _digests.with_ids_crc32(packing.pack(docs))
+    return packing.pack(docs, of_pieces=_digests.with_ids_crc32)
 
 
 STAGES: list[tuple[str, Stage]] = [
