@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Keys that hold more than one HEAVY-th of all rows are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 20_000
 

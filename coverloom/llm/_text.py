@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -86,7 +86,7 @@ class Block:
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans in ascending order; the length takes part.
 
-        Spans are taken a megabyte at a time, so that the 64-bit prefix sums stay small.
+        Spans are taken BLOCK_BYTES at a time, so that the 64-bit prefix sums stay small.
         """
         out = np.empty(len(starts), dtype=np.uint64)
         low = 0

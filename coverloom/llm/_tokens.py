@@ -20,8 +20,8 @@ import pyarrow as pa
 
 from ._text import _LOWER, Block, blocks, ranges
 
-MAX_KNOWN = 3_000_000
-ENCODE_BYTES = 1 << 21
+MAX_KNOWN = 500_000
+ENCODE_BYTES = 1 << 19
 TOKENIZER = "word_bpe_49k.json"
 
 
