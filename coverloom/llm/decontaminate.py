@@ -13,8 +13,9 @@ other words are looked up around those. `contamination` judges by exact windows;
 
 Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased. Defined cases: a null or
 empty text has no words and is never contaminated; an item without words has no window, and items with
-equal texts or windows all count; rows with equal ids are judged on their own texts; an empty table on
-either side gives no hits; other columns never take part.
+equal texts or windows all count; rows with equal ids are judged on their own texts; of a very
+long text only postings are shuffled; an empty table on either side gives no hits; other columns never take
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import small, table
+from ._spark import fresh, small, table
 
 WINDOW = 10
 SPAN = 15
@@ -174,5 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without any benchmark window, with all their columns."""
-    bad = contamination(docs, benchmark, window, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_v")), "left_anti")
+    d, v = fresh(docs, "bad_doc", "bad_version")
+    found = contamination(docs, benchmark, window, id_col, text_col).where("contaminated")
+    bad = found.select(F.col("doc_id").alias(d), F.col("version").alias(v)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs[text_col]) == F.col(v))
+    return docs.join(bad, same, "left_anti")

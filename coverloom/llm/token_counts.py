@@ -2,11 +2,13 @@
 
 The vocabulary becomes two tries, of pieces that begin a word and of pieces that continue one. Each
 node has a failure link and the number of pieces popped when it is followed, both worked out once, so
-one pass over a word's bytes counts its pieces without building them. Words of a block run through the
-automaton side by side; each distinct word of a block runs once.
+one pass over a word's bytes counts its pieces without building them. Words of up to LONG_WORD bytes of a
+block run through the automaton side by side, longer ones alone; each distinct word of a block runs once.
 
 A word with no such split is one unknown token. Defined cases: a null or empty text has no words and
-no tokens; repeated rows are counted row by row; an empty table gives no rows.
+no tokens; a very long text or word is read whole in one pass; repeated rows and rows of equal id are counted
+row by row; a null id stays null; an empty table gives no rows; other columns never take part, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import arrow_map
 from ._text import blocks, per_doc
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Bytes of a word; longer ones run alone.
+LONG_WORD = 64
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 
@@ -74,6 +79,7 @@ class LongestMatch:
         arcs = sorted((u * 256 + b, v) for u in range(n) for b, v in children[u].items())
         self.keys, self.to = np.array([k for k, _ in arcs], dtype=np.int64), np.array([v for _, v in arcs], dtype=np.int32)
         self.fail, self.popped = fail, popped
+        self._arcs: tuple | None = None
 
     def _child(self, nodes: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = nodes.astype(np.int64) * 256 + b
@@ -82,6 +88,34 @@ class LongestMatch:
 
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word data[start:end]; -1 if it has no split."""
+        out = np.empty(len(starts), dtype=np.int64)
+        brief = ends - starts <= LONG_WORD
+        out[brief] = self._side_by_side(data, starts[brief], ends[brief])
+        for i in np.flatnonzero(~brief):
+            out[i] = self._alone(data[starts[i] : ends[i]])
+        return out
+
+    def _alone(self, word: np.ndarray) -> int:
+        """Pieces of one long word, in steps that grow with its bytes alone."""
+        if self._arcs is None:
+            self._arcs = (dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), self.fail.tolist(), self.popped.tolist())
+        arcs, fail, popped = self._arcs
+        node = total = 0
+        for b in word.tobytes():
+            to = arcs.get(node * 256 + b, -1)
+            while to < 0:
+                total, node = total + popped[node], fail[node]
+                if node < 0:
+                    return -1
+                to = arcs.get(node * 256 + b, -1)
+            node = to
+        while node != 1:
+            total, node = total + popped[node], fail[node]
+            if node < 0:
+                return -1
+        return total
+
+    def _side_by_side(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
@@ -140,7 +174,9 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
             for block in blocks(batch.column(1), limit=1 << 22):
                 _, first, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
                 pieces = machine.count(block.data, block.starts[first], block.ends[first])[back]
-                columns = [pa.array(block.n_words.astype(np.int64)), pa.array(per_doc(np.abs(pieces), block.word_offsets)), pa.array(per_doc(pieces < 0, block.word_offsets))]
+                sums = [block.n_words.astype(np.int64), per_doc(np.abs(pieces), block.word_offsets), per_doc(pieces < 0, block.word_offsets)]
+                columns = [pa.array(x) for x in sums]
                 yield pa.RecordBatch.from_arrays([ids.slice(block.first, block.n_docs), *columns], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return arrow_map(slim, run, SCHEMA)

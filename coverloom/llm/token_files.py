@@ -7,7 +7,8 @@ Each task writes one file with a range of doc_ids in ascending order and notes w
 start within the file, so that global starts need only the sums of files.
 
 Defined cases: a null or empty text has the end id only; documents with equal ids stand next to each
-other, ordered by text; a null id comes first; an empty table gives files without rows.
+other, ordered by text; a null id comes first; a very long text is one list; an empty table gives files
+without rows; other columns never take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import shared_root
+from ._spark import arrow_map, tables_root
 from ._tokens import encode_batch, tokenizer_path
 
 END_ID = 2
@@ -45,7 +46,7 @@ def encode_ordered(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, te
                 at += int(offsets[-1])
 
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return slim.repartitionByRange(partitions, "id").sortWithinPartitions("id", "text").mapInArrow(run, SCHEMA)
+    return arrow_map(slim.repartitionByRange(partitions, "id").sortWithinPartitions("id", "text"), run, SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
@@ -67,4 +68,4 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
 
 
 def token_file_path(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/coverloom/tokens-{uuid.uuid4().hex}"
+    return f"{tables_root(spark)}/tokens-{uuid.uuid4().hex}"
