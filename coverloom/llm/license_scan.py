@@ -1,13 +1,14 @@
 """Operator 2: licence scan by canonical digests.
 
 A text is put in canonical form (lower case, no copyright lines, punctuation as one space, equivalent
-spellings unified) and its SHA-256 is joined to the digests of known licences: first the entire text,
-then each of its lines for the one-line notices. DataFrame operations only; the known digests are a
+spellings unified) and its SHA-256 is joined to the digests of known licences: first the entire text
+(with its title or without), then each of its lines for the one-line notices. DataFrame operations only; the known digests are a
 small table whose size is counted before it is broadcast, and texts aren't shuffled.
 
 Defined cases: a null, empty or all-punctuation text has no words, hence the digest of no bytes, and
-matches nothing; repeated rows are scanned row by row; an empty table gives no rows; a text that two
-known licences share counts for the smaller name.
+matches nothing; repeated rows and rows of equal id are scanned row by row; a very long text is scanned whole,
+but only its digests are shuffled; an empty table gives no rows; other columns never take part, whatever their
+names; a text that two known licences share counts for the smaller name.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._license_texts import NOTICE_FORMS, NOTICE_NAMES, TEXTS
+from ._license_texts import DIGESTS, NOTICE_FORMS, NOTICE_NAMES, TEXTS, TITLES
 from ._spark import small
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A notice names a year, a sign, a form field or all rights; the licences' own sentences that begin a line so stay.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[^a-z0-9\n]*(copyright|[0-9]{4})|©|all rights reserved)[^\n]*$"
 EQUIVALENT = (("licence", "license"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("favour", "favor"), ("fulfil ", "fulfill "), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("https ", "http "))
 MAX_BROADCAST_ROWS = 100_000
 
@@ -36,14 +38,31 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, texts: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license_id, whole): of licence texts, and of one-line notices."""
+def known_digests(spark: SparkSession, texts: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
+    """(digest, license_id, whole): of licence texts with and without their titles, and of one-line notices.
+
+    `digests` are canonical digests of entire texts that this package doesn't carry (see digests_of_files).
+    """
+    digests = DIGESTS if digests is None and texts is None else digests or {}
+    titles = TITLES if texts is None else {}
     texts = TEXTS if texts is None else texts
     notices = {k: [f.format(n) for n in names for f in NOTICE_FORMS] for k, names in NOTICE_NAMES.items()} if notices is None else notices
-    rows = [(k, t, True) for k, t in texts.items()] + [(k, t, False) for k, ts in notices.items() for t in ts]
+    rows = [(k, t, True) for k, t in texts.items()] + [(k, f"{title}\n{t}", True) for k, t in texts.items() for title in titles.get(k, ())]
+    rows += [(k, t, False) for k, ts in notices.items() for t in ts]
     listed = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("t"), F.lit(w).alias("whole")) for k, t, w in rows))
-    table = spark.range(1).select(F.inline(listed))
-    return table.groupBy(F.sha2(one_line(canonical(F.col("t"))), 256).alias("digest"), "whole").agg(F.min("license_id").alias("license_id"))
+    table = spark.range(1).select(F.inline(listed)).select("license_id", F.sha2(one_line(canonical(F.col("t"))), 256).alias("digest"), "whole")
+    if digests:
+        stored = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(d).alias("digest"), F.lit(True).alias("whole")) for d, k in digests.items()))
+        table = table.unionByName(spark.range(1).select(F.inline(stored)))
+    return table.groupBy("digest", "whole").agg(F.min("license_id").alias("license_id"))
+
+
+def digests_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, digest) for known_digests: of each file under path as a whole, and up to the end of its terms."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("t"))
+    parts = F.array("t", F.regexp_extract("t", r"(?s)^(.*\n[ \t]*END OF TERMS AND CONDITIONS)", 1))
+    listed = files.select("file", F.explode(parts).alias("t")).where("t <> ''")
+    return listed.select("file", F.sha2(one_line(canonical(F.col("t"))), 256).alias("digest")).distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import string
 
-from ._license_texts import NOTICE_FORMS, NOTICE_NAMES, TEXTS
-from .license_scan import COPYRIGHT_LINE, EQUIVALENT
+from ._license_texts import DIGESTS, NOTICE_FORMS, NOTICE_NAMES, TEXTS, TITLES
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -25,23 +24,41 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _canonical(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    for a, b in EQUIVALENT:
-        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
-    return out
+# of a text's lines, those that begin with a copyright sign, or with the word and a year, a sign or a form field, go
+_NOTICE = r"^[^a-z0-9]*(copyright[^a-z0-9]*(\(c\)|©|[0-9]{4}|[\[<{])|\(c\)[^a-z0-9]*(copyright|[0-9]{4})|©|all rights reserved)"
+_SPELLINGS = {"licence": "license", "organisation": "organization", "merchantibility": "merchantability", "favour": "favor", "fulfil ": "fulfill ", "sub license": "sublicense", "non infringement": "noninfringement", "https ": "http "}
 
 
-_ONE_LINE = "trim(regexp_replace({0}, '[ \\n]+', ' ', 'g'))"
-_KNOWN = ", ".join([f"({_quoted(k)}, {_quoted(t)}, TRUE)" for k, t in TEXTS.items()] + [f"({_quoted(k)}, {_quoted(f.format(n))}, FALSE)" for k, names in NOTICE_NAMES.items() for n in names for f in NOTICE_FORMS])
+def _spelled(words: str) -> str:
+    for a, b in _SPELLINGS.items():
+        words = f"replace({words}, {_quoted(a)}, {_quoted(b)})"
+    return words
+
+
+def _lines(text: str) -> str:
+    """The canonical lines of a text; spellings may reach over what stood between two words, not over line ends."""
+    kept = f"list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: CASE WHEN regexp_matches(l, {_quoted(_NOTICE)}) THEN '' ELSE l END)"
+    return "list_transform(" + kept + ", lambda l: " + _spelled("regexp_replace(l, '[^\\p{L}\\p{N}]+', ' ', 'g')") + ")"
+
+
+_BODY = "trim(regexp_replace(array_to_string({0}, ' '), ' +', ' ', 'g'))"
+_KNOWN = ", ".join(
+    [f"({_quoted(k)}, {_quoted(t)}, TRUE)" for k, t in TEXTS.items()]
+    + [f"({_quoted(k)}, {_quoted(title)} || chr(10) || {_quoted(t)}, TRUE)" for k, t in TEXTS.items() for title in TITLES[k]]
+    + [f"({_quoted(k)}, {_quoted(f.format(n))}, FALSE)" for k, names in NOTICE_NAMES.items() for n in names for f in NOTICE_FORMS]
+)
+_DIGESTS = ", ".join(f"({_quoted(d)}, TRUE, {_quoted(k)})" for d, k in DIGESTS.items())
 
 LICENSE_SCAN = f"""
-WITH known AS (SELECT {_ONE_LINE.format(_canonical('t'))} AS body, whole, min(id) AS license_id FROM (VALUES {_KNOWN}) v(id, t, whole) GROUP BY 1, 2),
-docs AS (SELECT doc_id, {_canonical('text')} AS c FROM documents),
-lines AS (SELECT doc_id, license_id FROM (SELECT doc_id, trim(unnest(string_split(c, chr(10)))) AS line FROM docs) JOIN known ON NOT whole AND body = line WHERE line <> ''),
-named AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM lines GROUP BY doc_id)
-SELECT d.doc_id, sha256({_ONE_LINE.format('c')}) AS digest, k.license_id, coalesce(n, 0) AS n_notice_lines, coalesce(notices, '') AS notices
-FROM docs d LEFT JOIN known k ON k.whole AND k.body = {_ONE_LINE.format('c')} LEFT JOIN named ON named.doc_id = d.doc_id"""
+WITH known AS (SELECT digest, whole, min(id) AS license_id FROM (
+    SELECT sha256({_BODY.format(_lines('t'))}) AS digest, whole, id FROM (VALUES {_KNOWN}) v(id, t, whole)
+    UNION ALL SELECT * FROM (VALUES {_DIGESTS}) d(digest, whole, id)) GROUP BY 1, 2),
+docs AS (SELECT doc_id, {_lines('text')} AS lines FROM documents),
+lines AS (SELECT doc_id, license_id FROM (SELECT doc_id, trim(unnest(lines)) AS line FROM docs) JOIN known ON NOT whole AND digest = sha256(line) WHERE line <> ''),
+named AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices FROM lines GROUP BY doc_id),
+whole AS (SELECT doc_id, sha256({_BODY.format('lines')}) AS digest FROM docs)
+SELECT w.doc_id, w.digest, k.license_id, coalesce(n, 0) AS n_notice_lines, coalesce(notices, '') AS notices
+FROM whole w LEFT JOIN known k ON k.whole AND k.digest = w.digest LEFT JOIN named ON named.doc_id = w.doc_id"""
 
 
 _LIMITS = {5: 0.15, 6: 0.14, 8: 0.12, 10: 0.10}

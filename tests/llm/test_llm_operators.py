@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -453,6 +454,24 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_of_files_as_published(spark):
+    import textwrap
+
+    wrap = lambda t, n=70: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    isc = "ISC License\n\nCopyright (c) 2004, 2010 Some Name <a@b.c>\nCopyright [yyyy] [name]\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + TEXTS["ISC"].split("copies.", 1)[1]
+    bsd = wrap(TEXTS["BSD-2-Clause"]).replace("THE\nCOPYRIGHT HOLDERS", "THE COPYRIGHT HOLDERS").replace("BY THE COPYRIGHT", "BY THE\nCOPYRIGHT")
+    mit = "The MIT License (MIT)\n=====================\n\nCopyright © 2001-2020 X. All rights reserved.\n\n" + wrap(TEXTS["MIT"], 60)
+    rows = [(1, isc), (2, bsd), (3, mit), (4, "# Unlicense\n\n" + wrap(TEXTS["Unlicense"])), (5, "zlib license\n(C) 1995 A and B\n\n" + wrap(TEXTS["Zlib"]))]
+    want = {1: "ISC", 2: "BSD-2-Clause", 3: "MIT", 4: "Unlicense", 5: "Zlib"}
+    for i, (file, name) in enumerate((("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")), 10):
+        if Path(f"/usr/share/common-licenses/{file}").exists():
+            text = Path(f"/usr/share/common-licenses/{file}").read_text()
+            rows += [(i, text.upper()), (i + 10, text.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n"), (i + 20, text + "\nand more")]
+            want |= {i: name, i + 10: name if "END OF TERMS" in text else None, i + 20: None}
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
