@@ -155,8 +155,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
+SEARCH_SEPARATORS = r"[ _\-./,:!?]+"
+
+
 def search_tokens(s: Column) -> Column:
-    return F.filter(F.split(F.lower(s), r"[^a-z0-9]+"), lambda x: x != "")
+    """Lower-cased pieces between spaces, underscores, dashes, dots, slashes, commas, colons and the marks ! and ?."""
+    return F.filter(F.split(F.lower(s), SEARCH_SEPARATORS), lambda x: x != "")
 
 
 def overlap(query: Column, own: Column) -> Column:
@@ -177,8 +181,15 @@ def source_url(template: str, path: Column, line: Column) -> Column:
 
 
 def affordance_name(s: Column) -> Column:
-    """A knob's or flag's name without dashes, separators and case."""
-    return F.regexp_replace(F.lower(F.regexp_replace(s, r"^-+", "")), r"[^a-z0-9]", "")
+    """The last segment of an id as lower-case words with single underscores between them.
+
+    A prefix up to a colon goes; the last of the segments between slashes and dots counts, in it the last
+    word, without the signs of flags and positionals; a capital after a small letter begins a word.
+    """
+    last = F.regexp_extract(F.regexp_replace(s, r"^[^:]*:", ""), r"([^/.]*)$", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_extract(last, r"([^ ]*)$", 1), r"^-{0,2}<?", ""), r">$", "")
+    words = F.lower(F.regexp_replace(F.regexp_replace(bare, r"([a-z])([A-Z])", "$1_$2"), r"-", "_"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(words, r"[^a-z0-9_]", ""), r"_+", "_"), r"^_|_$", "")
 
 
 def long_flags(text: Column) -> Column:
@@ -200,12 +211,9 @@ def cpp_refs(text: Column) -> Column:
     return F.array_sort(F.array_union(macros, names))
 
 
-def workflow_grammar(path: Column, refs: Column) -> Column:
-    return F.when(path.rlike(r"\.ya?ml$"), "yaml").when(F.exists(refs, lambda r: F.instr(r, " ") > 0), "cli").otherwise("prose")
-
-
-def grounding_severity(guessing: Column, mentions: Column, load: Column) -> Column:
-    """Base by state, more by how often and how centrally a term is used; at most 1, two decimals."""
-    base = F.when(guessing, 0.3).otherwise(0.6)
-    blast, weight = F.least(F.lit(0.24), mentions * 0.04), F.least(F.lit(0.16), load * 0.04)
-    return F.round(F.least(F.lit(1.0), base + blast + weight), 2)
+def grounding_severity(state: Column, competing: Column, density: Column) -> Column:
+    """How much a finding matters: by state, then by competing referents and by terms of the section, each beyond the first."""
+    base = F.when(state == "UNGROUNDED", 0.60).otherwise(0.30)
+    blast = F.greatest(F.lit(0.0), F.least(F.lit(0.24), (competing - 1) * 0.12))
+    load = F.greatest(F.lit(0.0), F.least(F.lit(0.16), (density - 1) * 0.04))
+    return F.when(state == "GROUNDED", 0.0).otherwise(F.least(F.lit(1.0), base + blast + load))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import matches_any
 
-KIND_RANK = {"DOCUMENTED_UNTESTED": 1, "TESTED_UNDOCUMENTED": 2, "MISSING_IN_CATEGORY": 3, "THIN_REFERENCE": 4, "EXTERNAL_MENTION_ONLY": 5, "STALE_DOC": 6, "COVERAGE_DELTA": 7}
+KIND_RANK = {"DOCUMENTED_UNTESTED": 1, "TESTED_UNDOCUMENTED": 2, "MISSING_IN_CATEGORY": 3, "THIN_REFERENCE": 4, "EXTERNAL_MENTION_ONLY": 5, "COVERAGE_DELTA": 6, "STALE_DOC": 7}
 SEVERITY_RANK = {"INFO": 1, "WARNING": 2, "ERROR": 3}
 MENTION_KINDS = ("METHOD", "FLAG", "SUBCOMMAND")
 
@@ -22,8 +23,11 @@ def ranked(column: Column, ranks: dict[str, int]) -> Column:
     return out.cast("int")
 
 
-def finding(rows: DataFrame, analyzer: str, kind: str, severity: str = "WARNING", subject: str = "element_id") -> DataFrame:
-    return rows.select(F.concat_ws(":", F.lit(analyzer), F.lit(kind), F.col(subject)).alias("id"), F.lit(kind).alias("kind"), F.col(subject).alias("subject"), F.lit(severity).alias("severity"), F.lit(analyzer).alias("analyzer"))
+def finding(rows: DataFrame, analyzer: str, kind: str, severity: str = "WARNING", detail: str | None = None) -> DataFrame:
+    """Findings on element_id; `detail` is a column that tells several findings of one element apart."""
+    subject = F.col("element_id")
+    key = F.concat_ws(":", F.lit(analyzer), F.lit(kind), subject, *((F.col(detail),) if detail else ()))
+    return rows.select(key.alias("id"), F.lit(kind).alias("kind"), subject.alias("subject"), F.lit(severity).alias("severity"), F.lit(analyzer).alias("analyzer"))
 
 
 def documented_untested(profiles: DataFrame, kinds: Sequence[str] = ("METHOD",)) -> DataFrame:
@@ -38,7 +42,7 @@ def missing_in_category(profiles: DataFrame, evidence: DataFrame, places: Sequen
     """Elements without evidence in each (surface, bucket) to alert for."""
     wanted = profiles.select("element_id", F.explode(F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(b).alias("bucket")) for s, b in places))).alias("w")).select("element_id", "w.surface", "w.bucket")
     gone = wanted.join(evidence.select("element_id", "surface", "bucket"), ["element_id", "surface", "bucket"], "left_anti")
-    return finding(gone.withColumn("subject", F.concat_ws("#", "element_id", F.concat_ws(".", "surface", "bucket"))), "missing-in-category", "MISSING_IN_CATEGORY", subject="subject")
+    return finding(gone.withColumn("place", F.concat_ws(".", "surface", "bucket")), "missing-in-category", "MISSING_IN_CATEGORY", detail="place")
 
 
 def thin_reference(evidence: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def thin_reference(evidence: DataFrame) -> DataFrame:
 def external_mention_only(profiles: DataFrame, evidence: DataFrame, kinds: Sequence[str] = MENTION_KINDS) -> DataFrame:
     weak = evidence.where((F.col("surface") == "docs") & F.col("bucket").isin("concept", "tutorial") & (F.col("rank") < 3)).select("element_id").distinct()
     rows = profiles.where(F.col("kind").isin(*kinds) & ~F.col("has_substantive_doc")).join(weak, "element_id", "left_semi")
-    return finding(rows, "external-mention-only", "EXTERNAL_MENTION_ONLY", "INFO")
+    return finding(rows, "external-mention-only", "EXTERNAL_MENTION_ONLY")
 
 
 def stale_doc(elements: DataFrame, evidence: DataFrame, times: DataFrame, max_lag_days: int = 90) -> DataFrame:
@@ -66,16 +70,43 @@ def stale_doc(elements: DataFrame, evidence: DataFrame, times: DataFrame, max_la
     return finding(rows.where(days >= max_lag_days), "stale-doc", "STALE_DOC")
 
 
+@dataclass
+class Corpus:
+    """What analyzers read: elements (id, path), profiles, evidence rows, and when files last changed (path, ts)."""
+
+    elements: DataFrame
+    profiles: DataFrame
+    evidence: DataFrame
+    times: DataFrame | None = None
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
-    "documented-untested": documented_untested,
-    "tested-undocumented": tested_undocumented,
-    "missing-in-category": missing_in_category,
-    "thin-reference": thin_reference,
-    "external-mention-only": external_mention_only,
-    "stale-doc": stale_doc,
+    "documented-untested": lambda c, **o: documented_untested(c.profiles, **o),
+    "tested-undocumented": lambda c, **o: tested_undocumented(c.profiles, **o),
+    "missing-in-category": lambda c, **o: missing_in_category(c.profiles, c.evidence, **o),
+    "thin-reference": lambda c, **o: thin_reference(c.evidence, **o),
+    "external-mention-only": lambda c, **o: external_mention_only(c.profiles, c.evidence, **o),
+    "stale-doc": lambda c, **o: stale_doc(c.elements, c.evidence, c.times, **o),
 }
 
 
+def found(corpus: Corpus, config: dict[str, dict]) -> list[DataFrame]:
+    """The findings of each named analyzer; their options may hold a severity, which is WARNING else."""
+    if unknown := sorted(set(config) - set(REGISTRY)):
+        raise ValueError(f"unknown analyzers: {', '.join(unknown)}")
+    parts = []
+    for name, options in config.items():
+        own = REGISTRY[name](corpus, **{k: v for k, v in options.items() if k != "severity"})
+        parts.append(own.withColumn("severity", F.lit(options.get("severity", "WARNING"))))
+    return parts
+
+
+def analyze(corpus: Corpus, config: dict[str, dict], suppress: Sequence[str] = ()) -> DataFrame:
+    """All findings of the named analyzers, without elements in suppressed paths, in report order."""
+    paths = corpus.elements.select(F.col("id").alias("element_id"), "path")
+    return run_all(found(corpus, config), paths, suppress)
+
+
 def run_all(parts: Sequence[DataFrame], paths: DataFrame | None = None, suppress: Sequence[str] = ()) -> DataFrame:
     """All findings, without subjects in suppressed paths, in report order."""
     out = parts[0]

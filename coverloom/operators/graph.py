@@ -69,16 +69,20 @@ def template_bridge(source: DataFrame, target: DataFrame, rendered: Column) -> D
 def affordances(elements: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
     """(a, b, score) of elements alike in kind and normalized name, in clusters of `low` to `high`.
 
-    The score starts at 0.70 and adds 0.15 for one library and 0.05 each for one type, default and owner; 0.95 at most.
+    The score starts at 0.70 and adds 0.15 for one type and 0.05 each for one max_size, max_count and
+    default_value, where they aren't empty; 0.95 at most. Clusters are counted before their rows are joined,
+    so a popular name isn't gathered anywhere.
     """
-    named = elements.withColumn("_name", T.affordance_name(F.col("name"))).where("_name <> ''")
-    sized = named.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("kind", "_name"))).where(F.col("_n").between(low, high))
-    columns = ("id", "library", "type", "default_value", "owner")
-    x = sized.select("kind", "_name", *(F.col(c).alias(f"x_{c}") for c in columns))
-    y = sized.select("kind", "_name", *(F.col(c).alias(f"y_{c}") for c in columns))
-    same = lambda c, v: F.when((F.col(f"x_{c}") == F.col(f"y_{c}")), v).otherwise(0.0)
-    score = F.lit(0.70) + same("library", 0.15) + same("type", 0.05) + same("default_value", 0.05) + same("owner", 0.05)
-    return x.join(y, ["kind", "_name"]).where("x_id <> y_id").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.round(F.least(score, F.lit(0.95)), 2).alias("score"))
+    columns = ("type", "max_size", "max_count", "default_value")
+    named = elements.select("id", "kind", *columns, T.affordance_name(F.col("id")).alias("_name")).where("_name <> ''")
+    sized = named.groupBy("kind", "_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(low, high)).drop("_n")
+    kept = named.join(sized, ["kind", "_name"])
+    x = kept.select("kind", "_name", *(F.col(c).alias(f"x_{c}") for c in ("id", *columns)))
+    y = kept.select("kind", "_name", *(F.col(c).alias(f"y_{c}") for c in ("id", *columns)))
+    same = lambda c, v: F.when((F.col(f"x_{c}") == F.col(f"y_{c}")) & (F.col(f"x_{c}") != ""), v).otherwise(0.0)
+    score = F.lit(0.70) + same("type", 0.15) + same("max_size", 0.05) + same("max_count", 0.05) + same("default_value", 0.05)
+    pairs = x.join(y, ["kind", "_name"]).where("x_id <> y_id")
+    return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.round(F.least(score, F.lit(0.95)), 2).alias("score"))
 
 
 def facade_edges(backends: DataFrame, path_map: DataFrame, module_map: DataFrame, facades: DataFrame) -> DataFrame:

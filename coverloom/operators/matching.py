@@ -22,9 +22,36 @@ def by_alias(refs: DataFrame, elements: DataFrame) -> DataFrame:
 
 def suffixes(elements: DataFrame, key: str = "id") -> DataFrame:
     """(element_id, suffix): what follows each / and each dot of the key."""
-    places = F.filter(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(F.col(key), i, F.lit(1)).isin("/", "."))
-    cut = F.transform(places, lambda i: F.substring(F.col(key), i + 1, F.length(key)))
-    return elements.select(F.col("id").alias("element_id"), F.explode(F.array_distinct(cut)).alias("suffix"))
+    return elements.select(F.col("id").alias("element_id"), F.explode(F.array_distinct(_tails(F.col(key), "[/.]"))).alias("suffix"))
+
+
+def _tails(key: Column, separators: str) -> Column:
+    """What follows each separator of one character; measured from the end, so no character is looked at twice."""
+    pieces = F.split(key, separators)
+    n = F.size(pieces)
+    rest = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i < n)
+    return F.transform(rest, lambda i: F.right(key, F.length(F.array_join(F.slice(pieces, i + 1, n), "/"))))
+
+
+def doc_keys(elements: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(key, element_id), once each: every string by which documentation names an element."""
+    keyed = elements.select("id", F.col("id").alias("key")) if edges is None else inherited_keys(elements, edges)
+    names = F.array_distinct(F.concat(F.array("key"), _tails(F.col("key"), "[/.]")))
+    own = keyed.select(F.explode(names).alias("key"), F.col("id").alias("element_id"))
+    aliases = elements.select(F.explode("aliases").alias("key"), F.col("id").alias("element_id"))
+    return own.unionByName(aliases).distinct()
+
+
+def test_keys(elements: DataFrame) -> DataFrame:
+    """(key, element_id), once each: ids, aliases, and for methods library/*.tail for each dotted tail."""
+    tails = F.when(F.col("kind") == "METHOD", F.transform(_tails(F.col("id"), "[.]"), lambda t: F.concat(F.col("library"), F.lit("/*."), t)))
+    names = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce(tails, F.array().cast("array<string>")))
+    return elements.select(F.explode(F.array_distinct(names)).alias("key"), F.col("id").alias("element_id"))
+
+
+def matched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with each element that their `ref` names; one join for all ways of naming."""
+    return rows.join(keys, F.col("ref") == F.col("key")).drop("key")
 
 
 def by_suffix(refs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -49,15 +76,12 @@ def inherited_keys(elements: DataFrame, edges: DataFrame) -> DataFrame:
 
 def doc_matches(refs: DataFrame, elements: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(owner, element_id), once each: exact, suffix (also of inherited methods), and alias."""
-    keyed = elements.select("id", F.col("id").alias("key")) if edges is None else inherited_keys(elements, edges)
-    full = refs.join(keyed, F.col("ref") == F.col("key")).select("owner", F.col("id").alias("element_id"))
-    tails = refs.join(suffixes(keyed, "key"), F.col("ref") == F.col("suffix")).select("owner", "element_id")
-    return full.unionByName(tails).unionByName(by_alias(refs, elements)).distinct()
+    return matched(refs, doc_keys(elements, edges)).select("owner", "element_id").distinct()
 
 
 def test_matches(refs: DataFrame, elements: DataFrame) -> DataFrame:
     """(owner, element_id), once each: exact, alias and wildcard."""
-    return exact(refs, elements).unionByName(by_alias(refs, elements)).unionByName(by_wildcard(refs, elements)).distinct()
+    return matched(refs, test_keys(elements)).select("owner", "element_id").distinct()
 
 
 def ambiguous_tokens(elements: DataFrame) -> DataFrame:

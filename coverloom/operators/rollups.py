@@ -9,22 +9,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
-from .ecosystems import allows
 
-SURFACES = ("concept", "test", "example")
+#: Surfaces that elements of a kind can have; reference is never counted by row. Fixed values.
+KIND_SURFACES: dict[str, tuple[str, ...]] = {
+    **dict.fromkeys(("METHOD", "TYPE", "PROTOCOL", "SYSCALL"), ("concept", "example", "impl")),
+    **dict.fromkeys(("FLAG", "SWITCH", "CONFIG_KNOB", "SUBCOMMAND", "POSITIONAL", "CONFIG_FACET"), ("concept", "example", "test")),
+    **dict.fromkeys(("CPP_CLASS", "RUST_TYPE"), ("test",)),
+    "LIBRARY": ("concept", "example"),
+}
+INTERFACE_KINDS = ("METHOD", "TYPE", "PROTOCOL", "SYSCALL")
 
 
-def bridged(ecosystem: Column, required: Sequence[str] = SURFACES) -> Column:
-    """All required surfaces that the view allows have evidence; reference never gates; none required is true."""
-    of = {"concept": ("docs", F.col("concept")), "test": ("tests", F.col("test")), "example": ("examples", F.col("example"))}
-    out = F.lit(True)
-    for s in required:
-        if s in of:
-            surface, has = of[s]
-            out = out & (~allows(ecosystem, surface) | has)
+def effective_surfaces(kind: str, required: Sequence[str] = ()) -> tuple[str, ...]:
+    """Those of a kind that are required, all of them where nothing is; an unknown kind has the required ones, else three."""
+    own = KIND_SURFACES.get(kind)
+    if own is None:
+        return tuple(required) or ("concept", "test", "example")
+    return tuple(s for s in own if s in required) if required else own
+
+
+def bridged(kind: Column, required: Sequence[str] = ()) -> Column:
+    """All effective surfaces of the kind have evidence; none effective is true."""
+
+    def all_of(names: Sequence[str]) -> Column:
+        out = F.lit(True)
+        for n in names:
+            out = out & F.col(n)
+        return out
+
+    out = all_of(effective_surfaces("", required))
+    for k in KIND_SURFACES:
+        out = F.when(kind == k, all_of(effective_surfaces(k, required))).otherwise(out)
     return out
 
 
+def needs_test(kind: Column) -> Column:
+    return ~kind.isin(*INTERFACE_KINDS) & ~F.col("test")
+
+
 def tier_rollup(rows: DataFrame) -> DataFrame:
     """Counts and percents for each tier and for all (tier null); rows has tier and boolean surfaces."""
     flags = ("concept", "test", "example", "impl", "bridged", "workflow")
@@ -36,7 +58,8 @@ def tier_rollup(rows: DataFrame) -> DataFrame:
 def overlap_cube(rows: DataFrame, example_required: bool = True) -> DataFrame:
     """All eight combinations of concept, test and example with counts, percents and bar lengths."""
     spark = rows.sparkSession
-    own = rows if example_required else rows.withColumn("example", F.lit(True))
+    live = rows.where(~F.col("removed"))
+    own = live if example_required else live.withColumn("example", F.lit(True))
     seen = own.groupBy("concept", "test", "example").agg(F.count(F.lit(1)).alias("n"))
     corners = spark.range(8).select(((F.col("id") % 2) == 1).alias("c"), ((F.floor(F.col("id") / 2) % 2) == 1).alias("t"), (F.col("id") >= 4).alias("e"))
     full = corners.join(seen, (F.col("c") == F.col("concept")) & (F.col("t") == F.col("test")) & (F.col("e") == F.col("example")), "left").select(F.col("c").alias("concept"), F.col("t").alias("test"), F.col("e").alias("example"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -53,10 +76,11 @@ def worklist(rows: DataFrame, workflows: bool = False) -> DataFrame:
         .when(F.col("drift") == "time", "time")
         .when(F.col("drift") == "domain", "domain")
         .when(~F.col("concept") & ~F.col("test") & ~F.col("example"), "orphan")
-        .when(~F.col("test"), "untested")
+        .when(needs_test(F.col("kind")), "untested")
         .when(~F.col("example"), "noexample")
     )
-    reason = reason.when(~F.col("workflow"), "noworkflow") if workflows else reason
+    whole = F.col("concept") & F.col("test") & F.col("example")
+    reason = reason.when(whole & ~F.col("workflow"), "noworkflow") if workflows else reason
     return rows.select("element_id", reason.alias("reason")).where("reason is not null")
 
 
@@ -66,9 +90,17 @@ def drift(findings: DataFrame) -> DataFrame:
 
 
 def hero(rows: DataFrame) -> DataFrame:
-    """One row: drift counts, and among rows that aren't bridged those without tests or examples."""
-    open_ = ~F.col("bridged") & F.col("drift").isNull()
-    return rows.agg(F.count_if(F.col("drift") == "domain").alias("domain_drift"), F.count_if(F.col("drift") == "time").alias("time_drift"), F.count_if(open_ & ~F.col("test")).alias("untested"), F.count_if(open_ & F.col("test") & ~F.col("example")).alias("no_example"), F.count_if(F.col("drift").isNull()).alias("drift_free"))
+    """One row: drift counts, and only where both are 0 those of unbridged rows that need a test, else an example."""
+    open_, needs = ~F.col("bridged") & F.col("drift").isNull(), needs_test(F.col("kind"))
+    sums = rows.agg(
+        F.count_if(F.col("drift") == "domain").alias("domain_drift"),
+        F.count_if(F.col("drift") == "time").alias("time_drift"),
+        F.count_if(open_ & needs).alias("untested"),
+        F.count_if(open_ & ~needs & ~F.col("example")).alias("no_example"),
+        F.count_if(F.col("drift").isNull()).alias("drift_free"),
+    )
+    quiet = (F.col("domain_drift") == 0) & (F.col("time_drift") == 0)
+    return sums.withColumns({c: F.when(quiet, F.col(c)) for c in ("untested", "no_example")})
 
 
 def completeness(rows: DataFrame) -> DataFrame:
@@ -163,10 +195,25 @@ def grounding(rows: DataFrame) -> DataFrame:
     return out.withColumn("best_state", F.when(F.col("best") == 3, "GROUNDED").when(F.col("best") == 2, "GUESSING").otherwise("UNGROUNDED")).withColumn("forces_a_guess", F.col("guessing") + F.col("ungrounded")).drop("best")
 
 
-def confidence_chip(n: Column, with_evidence: Column, floor: Column) -> Column:
-    """How far a measured share can be trusted: thresholds 100, 80 and 20 percent, and a floor from in-module tests."""
-    p = percent(with_evidence, n)
-    return F.when(n == 0, "not measured").when(p >= 100, "verified").when((p >= 80) | (floor >= 80), "lower bound").when(p >= 20, "lower bound").otherwise("needs tuning")
+def confidence_chip(surface: Column, n: Column, total: Column, in_module_n: Column, examples: Column, implements: Column, ecosystem: Column) -> Column:
+    """How far a tier's share of a surface can be trusted; null where no chip shows. Chips are for C++ only.
+
+    `n` of `total` elements have evidence, `in_module_n` of them within their module; `examples` counts the
+    corpus' examples, `implements` says whether it has implementations at all.
+    """
+    p, inside = percent(n, total), percent(in_module_n, total)
+    concept = F.when(p >= 100, "Verified").when(p == 0, "Needs tuning").otherwise("Lower bound")
+    test = F.when((n > in_module_n) & (p > inside), "Needs tuning").when(inside >= 80, "Verified").otherwise("Lower bound")
+    share = F.when(p >= 80, "Verified").otherwise("Lower bound")
+    chip = (
+        F.when((surface == "example") & (examples == 0), "Not measured")
+        .when((surface == "implementations") & ~implements, F.lit(None).cast("string"))
+        .when((surface != "implementations") & (total == 0), F.lit(None).cast("string"))
+        .when(surface == "concept", concept)
+        .when(surface == "test", test)
+        .otherwise(share)
+    )
+    return F.when(ecosystem == "cpp", chip)
 
 
 def tier_sentence(p: Column) -> Column:

@@ -14,8 +14,8 @@ TOP_K = 10
 
 def by_tokens(rows: DataFrame, query: str, id_col: str, text_col: str, k: int = TOP_K) -> DataFrame:
     """The k rows that share most tokens with the query; ties by id."""
-    wanted = F.array(*(F.lit(t) for t in dict.fromkeys(x for x in _tokens(query))))
-    score = T.overlap(wanted, T.search_tokens(F.col(text_col)))
+    wanted = list(dict.fromkeys(_tokens(query)))
+    score = F.size(F.filter(T.search_tokens(F.col(text_col)), lambda t: t.isin(*wanted)))
     return rows.select(F.col(id_col).alias("id"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -26,20 +26,25 @@ def by_vector(rows: DataFrame, query: Sequence[float], id_col: str, vector_col:
 
 
 def verify_invocation(elements: DataFrame, invocations: DataFrame) -> DataFrame:
-    """(invocation, element_id, confidence): the first candidate by id with the greatest share of tokens met.
+    """(invocation, matched, element_id, confidence): the element of that id, else the best candidate, else none.
 
-    Tokens are joined, so only elements that share one are scored.
+    A candidate's score is how many of its tokens the invocation has, repeats included; the greatest score wins,
+    then the first id; confidence is the score over the invocation's tokens. Only pairs that share a token meet.
     """
-    asked = invocations.select("invocation", F.array_distinct(T.search_tokens(F.col("invocation"))).alias("q"))
-    own = elements.select(F.col("id").alias("element_id"), T.search_tokens(F.col("id")).alias("t"))
-    met = asked.select("invocation", F.explode("q").alias("token")).join(own.select("element_id", F.size("t").alias("size"), F.explode("t").alias("token")), "token")
-    scored = met.groupBy("invocation", "element_id").agg((F.count(F.lit(1)) / F.first("size")).alias("confidence"))
-    best = scored.groupBy("invocation").agg(F.max("confidence").alias("confidence"))
-    top = scored.join(best.select("invocation", F.col("confidence").alias("top")), "invocation").where("confidence = top")
-    return top.groupBy("invocation").agg(F.min("element_id").alias("element_id"), F.first("confidence").alias("confidence"))
+    exact = elements.select(F.col("id").alias("exact_id")).distinct()
+    asked = invocations.select("invocation").distinct().join(exact, F.col("invocation") == F.col("exact_id"), "left")
+    known = asked.where(F.col("exact_id").isNotNull()).select("invocation", F.lit(True).alias("matched"), F.col("exact_id").alias("element_id"), F.lit(1.0).alias("confidence"))
+    fuzzy = asked.where(F.col("exact_id").isNull()).select("invocation", T.search_tokens(F.col("invocation")).alias("q"))
+    own = elements.select(F.col("id").alias("element_id"), F.explode(T.search_tokens(F.col("id"))).alias("token"))
+    own = own.groupBy("token", "element_id").agg(F.count(F.lit(1)).alias("times"))
+    wanted = fuzzy.select("invocation", F.explode(F.array_distinct("q")).alias("token"))
+    scored = wanted.join(own, "token").groupBy("invocation", "element_id").agg(F.sum("times").alias("score"))
+    best = scored.groupBy("invocation").agg(F.min_by("element_id", F.struct(-F.col("score"), F.col("element_id"))).alias("element_id"), F.max("score").alias("score"))
+    rest = fuzzy.join(best, "invocation", "left").select("invocation", F.lit(False).alias("matched"), "element_id", (F.col("score") / F.size("q")).alias("confidence"))
+    return known.unionByName(rest)
 
 
 def _tokens(s: str) -> list[str]:
     import re
 
-    return [t for t in re.split(r"[^a-z0-9]+", s.lower()) if t]
+    return [t for t in re.split(T.SEARCH_SEPARATORS, s.lower()) if t]

@@ -64,7 +64,7 @@ def q_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = load(spark, sf_dir, "lineitem")
-    mentions = line.where("l_linenumber = 2 and l_partkey % 2 = 0").select(F.col("l_orderkey").alias("doc"), F.lit(2).alias("line"), F.col("l_returnflag").alias("token"), F.col("l_partkey").alias("element_id"))
+    mentions = line.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("token"), F.col("l_partkey").alias("element_id"))
     els = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), F.col("p_type").alias("region"))
     return rollups.region_tally(rollups.concept_verdicts(mentions, els), ["region"])
 
@@ -103,9 +103,12 @@ def q_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_vector(rows, query, "vec_id", "embedding").select("id", F.round("score", 5).alias("score"))
 
 
+ASKED = """SELECT DISTINCT CASE p_partkey % 60 WHEN 0 THEN concat('lib', CAST(p_size AS STRING), '/', p_type, '.M', CAST(p_partkey AS STRING)) WHEN 20 THEN concat('no-such ', p_brand, '!')
+        ELSE concat('lib', CAST(p_size AS STRING), ' ', p_type, '.M', CAST(p_partkey % 100 AS STRING)) END AS invocation FROM {part} WHERE p_partkey % 20 = 0"""
+
+
 def q_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = load(spark, sf_dir, "part").where("p_partkey % 40 = 0").selectExpr("concat('lib', CAST(p_size AS STRING), ' ', p_type, ' M', CAST(p_partkey % 100 AS STRING)) AS invocation").distinct()
-    return search.verify_invocation(corpus.elements(spark, sf_dir), asked)
+    return search.verify_invocation(corpus.elements(spark, sf_dir), spark.sql(ASKED, part=load(spark, sf_dir, "part")))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +144,7 @@ def q_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where("length(text) < 4000")
+    docs = load(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     cited = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("lang")).alias("citation"), F.col("doc_id").alias("path"), (F.col("doc_id") % 4).cast("int").alias("cited_line"), F.when(F.col("lang") == "en", "the").when(F.col("lang") == "fr", "le").otherwise("de").alias("name"))
     return merge.citation_gate(cited, lines)
@@ -175,6 +178,12 @@ def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.grounding(rows)
 
 
+def q_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "purchase", "GROUNDED").when(F.col("event_type") == "error", "GUESSING").otherwise("UNGROUNDED")
+    severity = T.grounding_severity(state, F.col("user_id") % 5, F.col("event_id") % 8)
+    return load(spark, sf_dir, "events").select("event_id", F.round(severity, 2).alias("severity"))
+
+
 def q_hardening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relation(spark, sf_dir, "raw_tests").select("tier", F.col("ref").alias("element_id"))
     tiers, only = rollups.hardening(rows)
@@ -183,12 +192,12 @@ def q_hardening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_local_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = load(spark, sf_dir, "part").selectExpr("concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) AS id").distinct()
-    refs = load(spark, sf_dir, "part").where("p_partkey % 2 = 0").selectExpr("p_partkey AS owner", "CASE WHEN p_partkey % 4 = 0 THEN concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) ELSE concat('x::', CAST(p_size AS STRING), p_type) END AS ref")
+    refs = load(spark, sf_dir, "part").selectExpr("p_partkey AS owner", "CASE WHEN p_partkey % 4 = 0 THEN concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) ELSE concat('x::', CAST(p_size AS STRING), p_type) END AS ref")
     return matching.unique_local_names(refs, els)
 
 
 def q_implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("impl"), F.col("l_suppkey").cast("string")).alias("src_id"), F.lit("IMPLEMENTS").alias("kind"), F.col("l_partkey"))
+    edges = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("impl"), F.col("l_suppkey").cast("string")).alias("src_id"), F.lit("IMPLEMENTS").alias("kind"), F.col("l_partkey"))
     els = corpus.elements(spark, sf_dir)
     edges = edges.join(els.select("p_partkey", F.col("id").alias("target_id")), F.col("l_partkey") == F.col("p_partkey")).select("src_id", "kind", "target_id")
     return graph.implementors(els, edges).select("element_id", F.array_join("implementors", ",").alias("implementors"))
@@ -196,8 +205,8 @@ def q_implementors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_facades(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
-    backends = part.where("p_partkey % 2 = 0").selectExpr("concat('b', CAST(p_partkey AS STRING)) AS id", "p_type AS path", "p_brand AS module", "CAST(p_partkey % 50 AS STRING) AS local")
-    facades = part.where("p_partkey < 500").selectExpr("concat('f', CAST(p_partkey AS STRING)) AS id", "concat('lib', CAST(p_size % 5 AS STRING)) AS library", "CAST(p_partkey % 50 AS STRING) AS local")
+    backends = part.selectExpr("concat('b', CAST(p_partkey AS STRING)) AS id", "p_type AS path", "p_brand AS module", "CAST(p_partkey % 50 AS STRING) AS local")
+    facades = part.selectExpr("concat('f', CAST(p_partkey AS STRING)) AS id", "concat('lib', CAST(p_size % 5 AS STRING)) AS library", "CAST(p_partkey % 50 AS STRING) AS local")
     by_path = part.where("p_type < 'L'").selectExpr("p_type AS path", "concat('lib', CAST(length(p_type) % 5 AS STRING)) AS facade").distinct()
     by_module = part.selectExpr("p_brand AS module", "concat('lib', CAST(length(p_brand) % 5 AS STRING)) AS facade").distinct()
     return graph.facade_edges(backends, by_path, by_module, facades)
@@ -211,7 +220,7 @@ def q_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     lines = docs.select(F.concat(F.lit("tests/"), F.col("doc_id").cast("string")).alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    terms = docs.where("doc_id % 25 = 0").select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("element_id"), F.regexp_extract("text", r"([\p{L}\p{N}_]{7,})", 1).alias("term")).where("term <> ''")
+    terms = docs.where("doc_id % 20 = 0").select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("element_id"), F.regexp_extract("text", r"([\p{L}\p{N}_]{7,})", 1).alias("term")).where("term <> ''")
     known = docs.where("doc_id % 2 = 0").select(F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("element_id"), F.concat(F.lit("tests/"), F.col("doc_id").cast("string")).alias("path"))
     return verify.missed_tests(terms, lines, known).select("element_id", "path")
 
@@ -249,6 +258,7 @@ QUERIES = {
     "rail_ranks": q_rails,
     "mention_windows": q_mentions,
     "grounding_rollup": q_grounding,
+    "grounding_severity": q_severity,
     "hardening": q_hardening,
     "local_names": q_local_names,
     "implementors": q_implementors,
@@ -263,12 +273,12 @@ _SIDES = ", ".join(f"{n} AS (SELECT concat('e', CAST(o_custkey % 400 AS STRING))
 _DELTAS = _DELTA.format(_SIDES + ",")
 _STEM = "CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%s' THEN CASE WHEN w NOT LIKE '%ss' AND length(w) >= 4 AND left(w, length(w) - 1) NOT IN ('tions', 'ment') THEN concat(left(w, length(w) - 1), ',', w) ELSE w END WHEN concat(w, 's') NOT IN ('tions', 'ment') THEN concat(w, ',', w, 's') ELSE w END"
 _LINKS = "links AS (SELECT l_partkey AS element_id, concat(CASE WHEN l_suppkey % 13 = 0 THEN 'third_party/x' WHEN l_suppkey % 17 = 0 THEN 'a/vendor/b' ELSE 'src' END, '/f', CAST(l_suppkey % 2 + l_partkey % 3 * l_linenumber AS STRING)) AS path FROM lineitem)"
-_LINES = "WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE length(text) < 4000)"
+_LINES = "WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
 _COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
 
 ORACLE_SQL = {
     "camel_tokens": f"SELECT p_partkey, array_to_string({_SPLIT}, ',') AS tokens, array_to_string(list_filter(string_split(lower(regexp_replace(s, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '), lambda x: x <> ''), ',') AS simple FROM ({FROM_CAMEL})",
-    "stem_forms": f"SELECT w, {_STEM} AS stems FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents)",
+    "stem_forms": f"SELECT w, {_STEM} AS stems FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[ _\\-./,:!?]+'), lambda x: x <> '')) AS w FROM documents)",
     "element_names": with_relations("elements") + """SELECT id, library, split_part(id, '.', 2) AS method, type AS protocol, split_part(id, '.', 2) AS last, regexp_replace(regexp_replace(lower(owner), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
         concat(regexp_replace(regexp_replace(lower(owner), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), '-', left(sha256(owner), 8)) AS slug_hash, regexp_replace(lower(owner), '[^a-z0-9]', '', 'g') AS alnum, concat('https://example.org/', path, '#L', CAST(line AS STRING)) AS url FROM elements""",
     "path_parts": with_relations("raw_tests") + """SELECT DISTINCT path, replace(replace(replace(path, '.go', ''), '/', ','), '_', ',') AS tokens, regexp_extract(path, '(s[0-9]+)_test', 1) AS base, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dirs,
@@ -280,7 +290,7 @@ ORACLE_SQL = {
         SELECT library, count(*) FILTER (days <= 0) AS fresh, count(*) FILTER (days > 0 AND days <= 30) AS recent, count(*) FILTER (days > 30 AND days <= 180) AS aging, count(*) FILTER (days > 180) AS stale, count(*) FILTER (days IS NULL) AS unknown,
         CAST(floor(quantile_cont(days, 0.5) + 0.5) AS BIGINT) AS p50, CAST(floor(quantile_cont(days, 0.9) + 0.5) AS BIGINT) AS p90 FROM lags GROUP BY library""",
     "workflow_sizes": "SELECT CASE WHEN n >= 6 THEN '6+' ELSE CAST(n AS STRING) END AS size, count(*) AS workflows, CAST(sum(n) AS BIGINT) AS elements FROM (SELECT conv_id, count(DISTINCT turn * 7 + length(text) % 5) AS n FROM conversations GROUP BY conv_id) GROUP BY 1",
-    "concept_verdicts": """WITH m AS (SELECT l_orderkey AS doc, l_returnflag AS token, l_partkey AS e FROM lineitem WHERE l_linenumber = 2 AND l_partkey % 2 = 0), d AS (SELECT doc, token, count(DISTINCT e) AS degree FROM m GROUP BY ALL), least_ AS (SELECT e, min(degree) AS degree FROM m JOIN d USING (doc, token) GROUP BY e)
+    "concept_verdicts": """WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS line, l_returnflag AS token, l_partkey AS e FROM lineitem), d AS (SELECT doc, line, token, count(DISTINCT e) AS degree FROM m GROUP BY ALL), least_ AS (SELECT e, min(degree) AS degree FROM m JOIN d USING (doc, line, token) GROUP BY e)
         SELECT CASE WHEN degree IS NULL THEN 'silent' WHEN degree = 1 THEN 'clear' ELSE 'ambiguous' END AS verdict, p_type AS region, count(*) AS n FROM part LEFT JOIN least_ ON e = p_partkey GROUP BY ALL""",
     "coverage_delta": _DELTAS + "SELECT * FROM delta",
     "delta_summary": _DELTAS + "SELECT change, count(*) AS n, CAST(sum(head_tests - base_tests) AS BIGINT) AS tests_gained, CAST(sum(head_docs - base_docs) AS BIGINT) AS docs_gained FROM delta GROUP BY change",
@@ -290,12 +300,13 @@ ORACLE_SQL = {
         met AS (SELECT DISTINCT a.category, owner, subscribe FROM affected a JOIN owners o ON a.category = o.category AND (o.scope IS NULL OR o.scope = a.library))
         SELECT category, coalesce(string_agg(owner, ',' ORDER BY owner) FILTER (NOT subscribe), '') AS owners, coalesce(string_agg(owner, ',' ORDER BY owner) FILTER (subscribe), '') AS subscribers FROM met GROUP BY category""",
     "affected_findings": _DELTAS + "SELECT event_type AS kind, count(*) AS n FROM events WHERE concat('e', CAST(user_id % 500 AS STRING)) IN (SELECT element_id FROM delta) GROUP BY event_type",
-    "token_search": "SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x IN ('the', 'this', 'that', 'with', 'tion', 'of', 'and', 'ment'))) AS INT) AS score FROM documents ORDER BY score DESC, id LIMIT 10",
+    "token_search": "SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[ _\\-./,:!?]+'), lambda x: x IN ('the', 'this', 'that', 'with', 'tion', 'of', 'and', 'ment'))) AS INT) AS score FROM documents ORDER BY score DESC, id LIMIT 10",
     "vector_search": f"SELECT vec_id AS id, round({_COSINE}, 5) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 10",
-    "verify_invocation": with_relations("elements") + """, asked AS (SELECT DISTINCT concat('lib', CAST(p_size AS STRING), ' ', p_type, ' M', CAST(p_partkey % 100 AS STRING)) AS invocation FROM part WHERE p_partkey % 40 = 0),
-        q AS (SELECT DISTINCT invocation, unnest(string_split(lower(invocation), ' ')) AS token FROM asked), t AS (SELECT id, unnest(regexp_split_to_array(lower(id), '[^a-z0-9]+')) AS token FROM elements),
-        scored AS (SELECT invocation, id, count(*) / 3 AS confidence FROM q JOIN t USING (token) GROUP BY ALL)
-        SELECT invocation, id AS element_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY invocation ORDER BY confidence DESC, id) AS k FROM scored) WHERE k = 1""",
+    "verify_invocation": with_relations("elements") + ", asked AS (" + ASKED.format(part="part") + """), q AS (SELECT invocation, list_filter(regexp_split_to_array(lower(invocation), '[ _\\-./,:!?]+'), lambda x: x <> '') AS w FROM asked),
+        t AS (SELECT id, unnest(regexp_split_to_array(lower(id), '[ _\\-./,:!?]+')) AS token FROM elements),
+        scored AS (SELECT invocation, id, count(*) AS score FROM (SELECT DISTINCT invocation, unnest(w) AS token FROM q) JOIN t USING (token) GROUP BY ALL),
+        best AS (SELECT invocation, id, score FROM (SELECT *, row_number() OVER (PARTITION BY invocation ORDER BY score DESC, id) AS k FROM scored) WHERE k = 1)
+        SELECT q.invocation, e.id IS NOT NULL AS matched, coalesce(e.id, best.id) AS element_id, CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE score / len(w) END AS confidence FROM q LEFT JOIN elements e ON e.id = q.invocation LEFT JOIN best ON best.invocation = q.invocation""",
     "smearing": f"WITH {_LINKS} SELECT element_id, count(*) AS refs, count(DISTINCT path) AS files FROM links GROUP BY element_id HAVING count(*) >= 8 AND count(DISTINCT path) <= 2",
     "contamination": f"WITH {_LINKS} SELECT regexp_extract(path, '(third_party|vendor)', 1) AS segment, count(*) AS refs FROM links WHERE path LIKE '%third_party%' OR path LIKE '%vendor%' GROUP BY 1",
     "name_collisions": "SELECT lower(concat(p_name, p_type)) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
@@ -305,7 +316,7 @@ ORACLE_SQL = {
     "recount": "SELECT event_type AS surface, count(DISTINCT user_id) AS counted, count(*) AS reported FROM events GROUP BY event_type HAVING count(DISTINCT user_id) <> count(*)",
     "verification_verdict": "SELECT CASE WHEN e > 0 THEN 'broken' WHEN w > 0 THEN 'review' ELSE 'trustworthy' END AS verdict, e AS errors, w AS warnings FROM (SELECT count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type <> 'error' AND value > 50) AS w FROM events)",
     "capped_sample": with_relations("raw_tests") + ", " + SQL_TESTS + "SELECT path, test_id FROM (SELECT path, test_id, row_number() OVER (PARTITION BY path ORDER BY test_id) AS k FROM tests) WHERE k <= 3",
-    "citation_gate": _LINES + """, cited AS (SELECT concat(CAST(doc_id AS STRING), '#', lang) AS citation, doc_id, doc_id % 4 AS here, CASE lang WHEN 'en' THEN 'the' WHEN 'fr' THEN 'le' ELSE 'de' END AS name FROM documents WHERE length(text) < 4000),
+    "citation_gate": _LINES + """, cited AS (SELECT concat(CAST(doc_id AS STRING), '#', lang) AS citation, doc_id, doc_id % 4 AS here, CASE lang WHEN 'en' THEN 'the' WHEN 'fr' THEN 'le' ELSE 'de' END AS name FROM documents),
         met AS (SELECT citation, line, abs(line - here) AS distance FROM cited c JOIN lines l ON l.doc_id = c.doc_id AND abs(line - here) <= 1 WHERE regexp_matches(text, concat('(^|[^A-Za-z0-9_])', name, '([^A-Za-z0-9_]|$)')))
         SELECT citation, CAST(line AS INT) AS line, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY citation ORDER BY distance, line) AS k FROM met) WHERE k = 1""",
     "heading_stack": """WITH r AS (SELECT o_custkey % 97 AS doc, o_orderkey AS offset_, CASE WHEN o_orderkey % 5 < 4 THEN least(o_orderkey % 5 + 1, 3) END AS slot, o_orderstatus AS title FROM orders),
@@ -319,14 +330,16 @@ ORACLE_SQL = {
         SELECT doc, owners, offsets, density FROM (SELECT doc, count(*) AS owners, CAST(sum(o) AS BIGINT) AS offsets FROM f GROUP BY doc) JOIN (SELECT doc, max(n) AS density FROM d GROUP BY doc) USING (doc)""",
     "grounding_rollup": """WITH s AS (SELECT user_id AS element_id, CASE WHEN event_type = 'purchase' THEN 3 WHEN value > 20 THEN 2 ELSE 1 END AS k FROM events)
         SELECT element_id, count(*) FILTER (k = 3) AS grounded, count(*) FILTER (k = 2) AS guessing, count(*) FILTER (k = 1) AS ungrounded, CASE max(k) WHEN 3 THEN 'GROUNDED' WHEN 2 THEN 'GUESSING' ELSE 'UNGROUNDED' END AS best_state, count(*) FILTER (k < 3) AS forces_a_guess FROM s GROUP BY element_id""",
+    "grounding_severity": """SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 0 ELSE round(least(1.0, CASE WHEN event_type = 'error' THEN 0.30 ELSE 0.60 END
+        + CASE WHEN user_id % 5 > 1 THEN least(0.24, 0.12 * (user_id % 5 - 1)) ELSE 0 END + CASE WHEN event_id % 8 > 1 THEN least(0.16, 0.04 * (event_id % 8 - 1)) ELSE 0 END), 2) END AS DOUBLE) AS severity FROM events""",
     "hardening": with_relations("raw_tests") + "SELECT tier, count(*) AS n FROM raw_tests GROUP BY tier UNION ALL SELECT 'only proposed', count(*) FROM (SELECT ref FROM raw_tests WHERE tier = 'LLM' EXCEPT SELECT ref FROM raw_tests WHERE tier <> 'LLM') HAVING count(*) > 0",
     "local_names": """WITH e AS (SELECT DISTINCT concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) AS id, concat(CAST(p_size AS STRING), p_type) AS local FROM part), lone AS (SELECT local, min(id) AS id FROM e GROUP BY local HAVING count(*) = 1)
-        SELECT * FROM (SELECT p_partkey AS owner, CASE WHEN p_partkey % 4 = 0 THEN own ELSE concat('x::', loc) END AS ref, CASE WHEN p_partkey % 4 = 0 THEN own ELSE lone.id END AS element_id FROM (SELECT p_partkey, concat(CAST(p_size AS STRING), p_type) AS loc, concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) AS own FROM part WHERE p_partkey % 2 = 0) LEFT JOIN lone ON loc = local) WHERE element_id IS NOT NULL""",
-    "implementors": with_relations("elements") + "SELECT id AS element_id, coalesce(string_agg(DISTINCT concat('impl', CAST(l_suppkey AS STRING)), ',' ORDER BY concat('impl', CAST(l_suppkey AS STRING))) FILTER (l_suppkey IS NOT NULL), '') AS implementors FROM elements LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) ON l_partkey = p_partkey WHERE kind IN ('METHOD', 'TYPE') GROUP BY id",
-    "facade_edges": """WITH b AS (SELECT concat('b', CAST(p_partkey AS STRING)) AS id, concat('lib', CAST(CASE WHEN p_type < 'L' THEN length(p_type) ELSE length(p_brand) END % 5 AS STRING)) AS library, p_partkey % 50 AS local FROM part WHERE p_partkey % 2 = 0)
-        SELECT b.id AS src_id, concat('f', CAST(p_partkey AS STRING)) AS facade_id FROM b JOIN part f ON f.p_partkey < 500 AND concat('lib', CAST(f.p_size % 5 AS STRING)) = library AND f.p_partkey % 50 = local""",
+        SELECT * FROM (SELECT p_partkey AS owner, CASE WHEN p_partkey % 4 = 0 THEN own ELSE concat('x::', loc) END AS ref, CASE WHEN p_partkey % 4 = 0 THEN own ELSE lone.id END AS element_id FROM (SELECT p_partkey, concat(CAST(p_size AS STRING), p_type) AS loc, concat(p_brand, '::', replace(p_name, ' ', '_'), '::', CAST(p_size AS STRING), p_type) AS own FROM part) LEFT JOIN lone ON loc = local) WHERE element_id IS NOT NULL""",
+    "implementors": with_relations("elements") + "SELECT id AS element_id, coalesce(string_agg(DISTINCT concat('impl', CAST(l_suppkey AS STRING)), ',' ORDER BY concat('impl', CAST(l_suppkey AS STRING))) FILTER (l_suppkey IS NOT NULL), '') AS implementors FROM elements LEFT JOIN lineitem ON l_partkey = p_partkey WHERE kind IN ('METHOD', 'TYPE') GROUP BY id",
+    "facade_edges": """WITH b AS (SELECT concat('b', CAST(p_partkey AS STRING)) AS id, concat('lib', CAST(CASE WHEN p_type < 'L' THEN length(p_type) ELSE length(p_brand) END % 5 AS STRING)) AS library, p_partkey % 50 AS local FROM part)
+        SELECT b.id AS src_id, concat('f', CAST(p_partkey AS STRING)) AS facade_id FROM b JOIN part f ON concat('lib', CAST(f.p_size % 5 AS STRING)) = library AND f.p_partkey % 50 = local""",
     "event_properties": "SELECT event_type, count(json_extract(props, '$.k')) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total FROM events GROUP BY event_type",
-    "missed_tests": """WITH terms AS (SELECT doc_id AS own, concat('e', CAST(doc_id AS STRING)) AS element_id, regexp_extract(text, '([\\p{L}\\p{N}_]{7,})', 1) AS term FROM documents WHERE doc_id % 25 = 0),
+    "missed_tests": """WITH terms AS (SELECT doc_id AS own, concat('e', CAST(doc_id AS STRING)) AS element_id, regexp_extract(text, '([\\p{L}\\p{N}_]{7,})', 1) AS term FROM documents WHERE doc_id % 20 = 0),
         words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([\\p{L}\\p{N}_]+)')) AS term FROM documents),
         hits AS (SELECT element_id, concat('tests/', CAST(doc_id AS STRING)) AS path FROM terms JOIN words USING (term) WHERE term <> '' AND NOT (own = doc_id AND own % 2 = 0))
         SELECT element_id, path FROM (SELECT *, row_number() OVER (PARTITION BY element_id ORDER BY path) AS k FROM hits) WHERE k <= 5""",

@@ -28,9 +28,9 @@ RELATIONS: dict[str, str] = {
         SELECT concat('t', CAST(l_orderkey AS STRING), '.', CAST(l_linenumber AS STRING)) AS test_id,
                concat(CASE l_returnflag WHEN 'A' THEN 'tests/unit/' WHEN 'N' THEN 'tests/integration/' ELSE 'qa/e2e/' END, l_linestatus, '/s', CAST(l_suppkey AS STRING), '_test.go') AS path,
                CAST(l_partkey AS INT) AS line, CASE WHEN l_linenumber = 7 THEN 'LLM' ELSE 'DETERMINISTIC' END AS tier,
-               CASE l_partkey % 5 WHEN 0 THEN e.alias WHEN 1 THEN concat(e.library, '/*.M', CAST(l_partkey AS STRING)) ELSE e.id END AS ref,
+               CASE WHEN l_partkey % 3 <> 0 THEN concat('unknown/', e.id) ELSE CASE l_partkey % 5 WHEN 0 THEN e.alias WHEN 1 THEN concat(e.library, '/*.M', CAST(l_partkey AS STRING)) ELSE e.id END END AS ref,
                l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate
-        FROM lineitem JOIN elements e ON l_partkey = e.p_partkey WHERE l_partkey % 3 = 0 AND l_suppkey % 4 = 0""",
+        FROM lineitem JOIN elements e ON l_partkey = e.p_partkey""",
     "claims": """
         SELECT CAST(doc_id AS STRING) AS claim_id, doc_id, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.md') AS path, CAST(doc_id % 100 AS INT) AS line,
                CASE doc_id % 4 WHEN 0 THEN 'REFERENCE' WHEN 1 THEN 'EXAMPLE' WHEN 2 THEN 'PROSE_MENTION' ELSE 'WORKFLOW' END AS kind,
@@ -44,13 +44,16 @@ RELATIONS: dict[str, str] = {
         SELECT concat('s', CAST(s_suppkey AS STRING)) AS src, n_name AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey
         UNION ALL SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'AFRICA' AS src, 'NATION_0' AS dst""",
+    "file_times": """
+        SELECT DISTINCT path, CAST(788918400 + p_size * 53 % 700 * 86400 AS BIGINT) AS ts FROM elements JOIN (SELECT p_partkey AS k, p_size FROM part) p ON k = p_partkey
+        UNION ALL SELECT path, CAST(788918400 + doc_id * 37 % 500 * 86400 AS BIGINT) AS ts FROM claims""",
     "git_times": """
         SELECT p_partkey, id, library, CAST(max(o_epoch) AS BIGINT) AS doc_ts, CAST(max(l_epoch) AS BIGINT) AS code_ts FROM (
             SELECT e.p_partkey, e.id, e.library, CAST(floor({o_epoch}) AS BIGINT) AS o_epoch, CAST(floor({l_epoch}) AS BIGINT) AS l_epoch
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN elements e ON l_partkey = e.p_partkey WHERE l_linenumber = 1) x
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN elements e ON l_partkey = e.p_partkey) x
         GROUP BY p_partkey, id, library""",
 }
-_NEEDS = {"raw_tests": ("elements",), "claims": ("elements",), "git_times": ("elements",)}
+_NEEDS = {"raw_tests": ("elements",), "claims": ("elements",), "file_times": ("elements", "claims"), "git_times": ("elements",)}
 _EPOCH = {"spark": "unix_timestamp({0})", "duckdb": "epoch({0})"}
 
 RULES = [

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,5 +100,11 @@ DETECT = {
 def detect(files: DataFrame, samples: int = 5) -> DataFrame:
     """(adapter, files, samples): sources found by extension and a look at the content."""
     hits = F.array_compact(F.array(*(F.when(matches_any(F.col("path"), globs) & F.col("text").rlike(sniff), F.lit(name)) for name, (globs, sniff) in DETECT.items())))
-    found = files.select("path", F.explode(hits).alias("adapter"))
-    return found.groupBy("adapter").agg(F.count(F.lit(1)).alias("files"), F.slice(F.array_sort(F.collect_set("path")), 1, samples).alias("samples"))
+    found = files.select("path", F.explode(hits).alias("adapter")).distinct()
+    # the first paths of an adapter come from the first of each of many groups, so none is gathered whole
+    part = F.pmod(F.xxhash64("path"), F.lit(1024))
+    first = lambda by: F.row_number().over(W.partitionBy(*by).orderBy("path"))
+    few = found.withColumn("part", part).withColumn("k", first(("adapter", "part"))).where(F.col("k") <= samples)
+    few = few.withColumn("k", first(("adapter",))).where(F.col("k") <= samples)
+    paths = few.groupBy("adapter").agg(F.array_sort(F.collect_list("path")).alias("samples"))
+    return found.groupBy("adapter").agg(F.count(F.lit(1)).alias("files")).join(paths, "adapter")

@@ -36,12 +36,20 @@ def braced(text: str, at: int) -> str:
     return text[start:]
 
 
+#: Subcommands that a path may hold after its binary. Fixed value.
+MAX_DEPTH = 3
+
+
 def invocation_refs(words: list[str], binary: str) -> list[str]:
-    """Command prefixes of two words or more, and the deepest command with each long flag."""
-    if not words or words[0] != binary:
+    """Command prefixes of two words or more, and the deepest command with each long flag.
+
+    The binary may stand anywhere; the path ends at the first word that isn't a subcommand's name.
+    """
+    if binary not in words:
         return []
+    words = words[words.index(binary) :]
     path = [binary]
-    for w in words[1:]:
+    for w in words[1 : MAX_DEPTH + 1]:
         if not re.fullmatch(r"[a-z][a-z0-9-]*", w):
             break
         path.append(w)

@@ -106,8 +106,34 @@ def test_ground_truth(spark):
 
 
 def test_lag_and_chips(spark):
-    got = spark.range(1).select(rollups.lag_days(F.lit(200000), F.lit(86400)), rollups.lag_bucket(F.lit(40)), rollups.confidence_chip(F.lit(10), F.lit(9), F.lit(0)), rollups.tier_sentence(F.lit(61))).first()
-    assert list(got) == [1, "AGING", "lower bound", "high"]
+    got = spark.range(1).select(rollups.lag_days(F.lit(200000), F.lit(86400)), rollups.lag_bucket(F.lit(40)), rollups.tier_sentence(F.lit(60))).first()
+    assert list(got) == [1, "AGING", "high"]
+    cells = [("concept", 10, 10, 0, 1, "cpp"), ("concept", 0, 10, 0, 1, "cpp"), ("test", 9, 10, 5, 1, "cpp"), ("test", 9, 10, 9, 1, "cpp"), ("example", 9, 10, 0, 0, "cpp"), ("example", 8, 10, 0, 3, "cpp"), ("implementations", 1, 10, 0, 1, "cpp"), ("concept", 1, 10, 0, 1, "fidl"), ("concept", 0, 0, 0, 1, "cpp")]
+    rows = spark.createDataFrame(cells, "s string, n long, t long, i long, x long, e string")
+    chip = rollups.confidence_chip(F.col("s"), F.col("n"), F.col("t"), F.col("i"), F.col("x"), F.lit(True), F.col("e"))
+    assert [r[0] for r in rows.select(chip).collect()] == ["Verified", "Needs tuning", "Needs tuning", "Verified", "Not measured", "Verified", "Lower bound", None, None]
+
+
+def test_affordance_names(spark):
+    names = {"cml:rust/config_example/greeting": "greeting", "argh:create --arch": "arch", "argh:list --include-components": "include_components", "argh:server MAX_CONNECTIONS": "max_connections", "fuchsia.io/Directory.Open": "open", "x:y <fileName>": "file_name", "": ""}
+    rows = spark.createDataFrame([(k,) for k in names], "id string")
+    assert {r[0]: r[1] for r in rows.select("id", T.affordance_name(F.col("id"))).collect()} == names
+
+
+def test_bridged_by_kind(spark):
+    rows = spark.createDataFrame([("METHOD", True, False, True, True), ("METHOD", True, True, True, False), ("FLAG", True, True, True, False), ("CPP_CLASS", False, True, False, False), ("LIBRARY", True, False, True, False), ("OTHER", True, True, False, False)], "kind string, concept boolean, test boolean, example boolean, impl boolean")
+    assert [r[0] for r in rows.select(rollups.bridged(F.col("kind"))).collect()] == [True, False, True, True, True, False]
+    assert [r[0] for r in rows.select(rollups.bridged(F.col("kind"), ["test"])).collect()] == [True, True, True, True, True, True]
+
+
+def test_finding_options(spark):
+    profiles = spark.createDataFrame([("a", "METHOD", 1, False), ("b", "METHOD", 1, False)], "element_id string, kind string, tests long, has_any_doc boolean")
+    els = spark.createDataFrame([("a", "x/a.c"), ("b", "y/b.c")], "id string, path string")
+    known = findings.Corpus(els, profiles, profiles)
+    got = findings.analyze(known, {"tested-undocumented": {"severity": "ERROR"}}, ["y/**"]).collect()
+    assert [(r.subject, r.severity) for r in got] == [("a", "ERROR")]
+    with pytest.raises(ValueError):
+        findings.analyze(known, {"nope": {}})
 
 
 def test_heading_stack(spark):

@@ -28,7 +28,7 @@ def _plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"findings_by_library", "anomaly_groups", "library_counts", "usage", "drift_hero", "library_completeness"}))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
