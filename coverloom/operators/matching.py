@@ -96,8 +96,8 @@ def ambiguous_tokens(elements: DataFrame) -> DataFrame:
 def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(test_id, element_id) of subcommands that a test's name and path tokens name.
 
-    tests has (test_id, path, name_tokens). An element's tokens are joined one by one and counted, and
-    elements of several tokens also by all of them written together.
+    tests has (test_id, path, name_tokens). An element of several tokens may also be named by all of them
+    written together.
     """
     t = tests.select("test_id", "path", F.transform("name_tokens", F.lower).alias("names"), F.transform(T.path_tokens(F.col("path")), F.lower).alias("paths"))
     if blocked is None:
@@ -113,9 +113,14 @@ def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None
     depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     forms = wide.select("id", F.lower("library").alias("lib"), F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where(depth(F.col("form")) >= depth(F.col("id")))
     forms = forms.withColumn("required", F.filter(T.id_tokens(F.col("form")), lambda x: x != F.col("lib"))).where(F.size("required") > 0)
-    keys = forms.select("id", "form", "lib", "required", F.explode(F.array_distinct("required")).alias("key"))
+    # each form starts from its rarest token, so a frequent one never pairs everything; the others are looked up in the test
     owned = t.select("test_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    full = owned.join(keys, F.col("token") == F.col("key")).groupBy("test_id", "id", "form").agg(F.count(F.lit(1)).alias("n"), F.first(F.size(F.array_distinct("required"))).alias("needed")).where("n = needed").select("test_id", "id", "form")
+    spread = owned.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    keys = forms.select("id", "form", "required", F.explode(F.array_distinct("required")).alias("key")).join(spread, F.col("key") == F.col("token"), "left")
+    start = keys.groupBy("id", "form").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("least"), F.first("required").alias("needed")).where("least.n > 0")
+    met = owned.join(start, F.col("token") == F.col("least.key")).select("test_id", "id", "form", "needed")
+    whole = met.join(t.select("test_id", "tokens"), "test_id").where(F.size(F.array_except("needed", "tokens")) == 0)
+    full = whole.select("test_id", "id", "form")
     merged = forms.where(F.size("required") >= 2).select("id", "form", F.array_join("required", "").alias("key"))
     joined = owned.join(merged, F.col("token") == F.col("key")).select("test_id", "id", "form")
     pairs = full.unionByName(joined).distinct().join(t.select("test_id", "path", "paths"), "test_id").join(forms, ["id", "form"])

@@ -136,9 +136,15 @@ def argh(path: str, text: str) -> Iterator[dict]:
             if "positional" in attrs:
                 yield element(f"{command} <{field}>", "POSITIONAL", "cli", library, path, 1, doc=doc, type=kind)
             elif "switch" in attrs or "option" in attrs:
-                default = re.search(r'default\s*=\s*"([^"]*)"', attrs)
+                default = re.search(r'default\s*=\s*"((?:\\.|[^"\\])*)"', attrs)
                 of = "SWITCH" if "switch" in attrs else "CONFIG_KNOB" if default else "FLAG"
-                yield element(f"{command} --{renamed[1] if renamed else kebab(field)}", of, "cli", library, path, 1, doc=doc, type=kind, default_value=default[1] if default else "")
+                yield element(f"{command} --{renamed[1] if renamed else kebab(field)}", of, "cli", library, path, 1, doc=doc, type=kind, default_value=_rust_literal(default[1]) if default else "")
+
+
+def _rust_literal(code: str) -> str:
+    """The text of a quoted string that the expression begins with, else the expression."""
+    m = re.match(r'\\"((?:[^"\\]|\\[^"])*)\\"', code)
+    return m[1] if m else code
 
 
 def cml(path: str, text: str) -> Iterator[dict]:
@@ -318,7 +324,7 @@ def implements_map(path: str, text: str) -> Iterator[dict]:
     for m in re.finditer(r"\bclass\s+(\w+)\s*(?:final\s*)?:\s*([^{;]*)\{", text):
         for lib, p in re.findall(r"(?:fidl::(?:Wire)?Server|WireServer|Server)<\s*([\w:]+)::(\w+)\s*>", m[2]):
             found.setdefault(m[1], set()).add(f"{lib.replace('::', '.').replace('_', '.')}/{p}")
-    for lib, p, name in re.findall(r"impl\s+([\w:]+)::(\w+)(?:RequestHandler|Server)?\s+for\s+(\w+)", text):
+    for lib, p, name in re.findall(r"impl\s+([\w:]+)::(\w+?)(?:RequestHandler|Server)?\s+for\s+(\w+)", text):
         found.setdefault(name, set()).add(f"{lib.replace('::', '.')}/{p}")
     for name, targets in found.items():
         yield element(f"cpp:{path}#{name}", "CPP_CLASS", "cpp", "", path, 1, edges=[{"kind": "IMPLEMENTS", "target": t} for t in sorted(targets)])

@@ -23,17 +23,21 @@ def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
+_BRACES = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`[^`]*`|[{}]', re.S)
+
+
 def braced(text: str, at: int) -> str:
-    """The text from the first { after `at` to its partner."""
-    start = text.find("{", at)
-    if start < 0:
-        return ""
-    depth = 0
-    for i in range(start, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
-        if depth == 0:
-            return text[start : i + 1]
-    return text[start:]
+    """The text from the first { after `at` to its partner; braces in comments and strings don't count."""
+    start, depth = -1, 0
+    for m in _BRACES.finditer(text, at):
+        if m[0] == "{":
+            start = m.start() if start < 0 else start
+            depth += 1
+        elif m[0] == "}" and start >= 0:
+            depth -= 1
+            if depth == 0:
+                return text[start : m.end()]
+    return text[start:] if start >= 0 else ""
 
 
 #: Subcommands that a path may hold after its binary. Fixed value.
