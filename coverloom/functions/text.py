@@ -217,3 +217,47 @@ def grounding_severity(state: Column, competing: Column, density: Column) -> Col
     blast = F.greatest(F.lit(0.0), F.least(F.lit(0.24), (competing - 1) * 0.12))
     load = F.greatest(F.lit(0.0), F.least(F.lit(0.16), (density - 1) * 0.04))
     return F.when(state == "GROUNDED", 0.0).otherwise(F.least(F.lit(1.0), base + blast + load))
+
+
+#: Packages that look like a contract's but never are. Fixed values.
+NOISE_PACKAGES = ("www", "http", "https", "io", "com", "net", "org")
+NOISE_PREFIX = "google.protobuf"
+
+
+def is_noise_package(package: Column) -> Column:
+    return package.isin(*NOISE_PACKAGES) | package.startswith(NOISE_PREFIX)
+
+
+#: Flags that many commands share. Fixed values.
+COMMON_FLAGS = (
+    "repo", "config", "help", "verbose", "quiet", "output", "out", "format", "port", "version", "debug", "force",
+    "dry-run", "yes", "file", "dir", "path", "name", "all", "json", "base", "library", "ecosystem",
+)
+QUALIFIED_KINDS = ("METHOD", "PROTOCOL", "TYPE", "SYSCALL", "CPP_METHOD", "CPP_CLASS", "RUST_TYPE", "CPP_FREE_FUNCTION")
+
+
+def search_term(element_id: Column, kind: Column) -> Column:
+    """A string that only this element's uses hold: its flag, or its qualified name; empty where none is distinctive."""
+    leaf = F.regexp_replace(F.regexp_extract(element_id, r"([^ ./:]*)$", 1), r"^-+", "")
+    flag = F.when((F.length(leaf) >= 2) & ~F.lower(leaf).isin(*COMMON_FLAGS), F.concat(F.lit("--"), leaf)).otherwise("")
+    name = F.substring_index(element_id, "/", -1)
+    qualified = F.when(name.rlike("[.:]"), name).otherwise("")
+    return F.when(kind.isin("FLAG", "SWITCH", "CONFIG_KNOB"), flag).when(kind.isin(*QUALIFIED_KINDS), qualified).otherwise("")
+
+
+def library_matches(library: Column, pattern: str) -> Column:
+    """A library by name, or by a pattern that ends in .* for all below a name."""
+    return (library == pattern) | (library.startswith(pattern[:-1]) if pattern.endswith(".*") else F.lit(False))
+
+
+def library_in_scope(library: Column, libraries: list[str], also: list[str], exclude: list[str]) -> Column:
+    """Excluded ones are out; of the rest, all where nothing is named, else those that are."""
+
+    def any_of(patterns: list[str]) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | library_matches(library, p)
+        return out
+
+    wanted = any_of([*libraries, *also]) if libraries or also else F.lit(True)
+    return ~any_of(exclude) & wanted

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,12 +12,17 @@ from ..functions import text as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a checkpoint in the cluster's shared folder, which survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
+    """Cuts the lineage of an iteration: a checkpoint in the cluster's shared folder, which survives lost executors.
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"coverloom-{uuid.uuid4().hex[:8]}"))
+    Without spark.checkpoint.dir, a temporary folder is taken, on a single machine only.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="coverloom-"))
     return df.checkpoint()
 
 

@@ -93,6 +93,14 @@ def ambiguous_tokens(elements: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("token", "single")).alias("token")).distinct()
 
 
+def prefix_collisions(elements: DataFrame) -> DataFrame:
+    """(library, token, siblings): names of one token that begin a longer name of their library, with those names."""
+    names = elements.select("library", T.split_camel(T.last_segment(F.col("id"))).alias("tokens")).where(F.size("tokens") > 0)
+    single = names.where(F.size("tokens") == 1).select("library", F.col("tokens")[0].alias("token")).distinct()
+    longer = names.where(F.size("tokens") > 1).select("library", F.col("tokens")[0].alias("token"), F.array_join("tokens", " ").alias("sibling"))
+    return single.join(longer, ["library", "token"]).groupBy("library", "token").agg(F.array_sort(F.collect_set("sibling")).alias("siblings"))
+
+
 def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(test_id, element_id) of subcommands that a test's name and path tokens name.
 

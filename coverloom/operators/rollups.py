@@ -151,6 +151,43 @@ def lag_summary(rows: DataFrame, by: str) -> DataFrame:
     return most.groupBy(by).agg(*(F.count_if(bucket == b).alias(b.lower()) for b in ("FRESH", "RECENT", "AGING", "STALE", "UNKNOWN")), rounded(0.5).alias("p50"), rounded(0.9).alias("p90"))
 
 
+def lag_pairs(elements: DataFrame, refs: DataFrame, times: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+    """(element_id, path, line, inline, days) of every reference in documentation; days is null where a time is unknown.
+
+    elements has (id, path, line), refs (element_id, path, line), times (path, line, ts), where line 0 is the whole
+    file and stands in for lines without a time. tracked (path) limits times to files under version control.
+    """
+    known = times.where("ts > 0")
+    known = known if tracked is None else known.join(tracked.select("path").distinct(), "path", "left_semi")
+    by_line = known.where("line > 0").groupBy("path", "line").agg(F.max("ts").alias("line_ts"))
+    by_file = known.where("line = 0").groupBy("path").agg(F.max("ts").alias("file_ts"))
+
+    def timed(rows: DataFrame, name: str) -> DataFrame:
+        out = rows.join(by_line, ["path", "line"], "left").join(by_file, "path", "left")
+        return out.withColumn(name, F.coalesce("line_ts", "file_ts")).drop("line_ts", "file_ts")
+
+    code = timed(elements.select(F.col("id").alias("element_id"), "path", "line").where("path <> ''"), "code_ts")
+    code = code.select("element_id", F.col("path").alias("code_path"), "code_ts")
+    pairs = timed(refs.select("element_id", "path", "line"), "doc_ts").join(code, "element_id")
+    inline = F.col("path") == F.col("code_path")
+    days = F.when(~inline, lag_days(F.coalesce("code_ts", F.lit(0)), F.coalesce("doc_ts", F.lit(0))))
+    return pairs.select("element_id", "path", "line", inline.alias("inline"), days.alias("days"))
+
+
+def lag_run(pairs: DataFrame) -> DataFrame:
+    """One row for all pairs: buckets, p50, p90, and how many are inline or unknown and so not counted."""
+    counted, bucket = ~F.col("inline") & F.col("days").isNotNull(), lag_bucket(F.col("days"))
+    rounded = lambda q: F.coalesce(F.floor(F.percentile(F.when(counted, F.col("days")), q) + 0.5), F.lit(0)).cast("long")
+    return pairs.agg(
+        F.count_if(counted).alias("pairs"),
+        F.count_if("inline").alias("inline"),
+        F.count_if(~F.col("inline") & F.col("days").isNull()).alias("unknown"),
+        *(F.count_if(counted & (bucket == b)).alias(b.lower()) for b in ("FRESH", "RECENT", "AGING", "STALE")),
+        rounded(0.5).alias("p50"),
+        rounded(0.9).alias("p90"),
+    )
+
+
 def monorepo(rows: DataFrame, by: str = "library") -> DataFrame:
     """Sums and median percents of members by group. rows has (by, member, total, tests, docs, examples)."""
     surfaces = ("docs", "tests", "examples")

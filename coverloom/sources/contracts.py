@@ -158,16 +158,17 @@ def cml(path: str, text: str) -> Iterator[dict]:
         yield element(f"cml:{folder}/{k[1]}", "CONFIG_KNOB", "cml", folder, path, line_of(text, text.find(k[0])), type=kind, default_value=default)
 
 
-def _schema_rows(schema: dict, prefix: str, make, depth: int = 0) -> Iterator[dict]:  # noqa: ANN001
+def _schema_rows(schema: dict, prefix: str, make, above: tuple[int, ...] = ()) -> Iterator[dict]:  # noqa: ANN001
+    """The properties of a schema at every depth; an alias that leads back to a schema above isn't followed again."""
     for name, s in sorted((schema.get("properties") or {}).items()):
         at = f"{prefix}.{name}"
         meta = ",".join(str(x) for x in (s.get("type"), s.get("format"), "|".join(map(str, s.get("enum", [])))) if x)
         yield make(at, meta, s)
         inner = s
-        while inner.get("type") == "array" and isinstance(inner.get("items"), dict):
+        while inner.get("type") == "array" and isinstance(inner.get("items"), dict) and inner["items"] is not inner:
             inner, at = inner["items"], at + "[]"
-        if depth < 40:
-            yield from _schema_rows(inner, at, make, depth + 1)
+        if id(inner) not in above:
+            yield from _schema_rows(inner, at, make, (*above, id(inner)))
 
 
 def crd(path: str, text: str) -> Iterator[dict]:
@@ -197,7 +198,7 @@ def k8smanifest(path: str, text: str) -> Iterator[dict]:
         try:
             doc = yaml.safe_load(part)
         except yaml.YAMLError:
-            return
+            continue
         if not isinstance(doc, dict) or not doc.get("apiVersion") or not doc.get("kind"):
             continue
         group = doc["apiVersion"].split("/")[0] if "/" in doc["apiVersion"] else "core"
@@ -231,8 +232,8 @@ def helm_schema(path: str, text: str) -> Iterator[dict]:
         if ref.startswith("#/$defs/") and ref not in seen:
             return resolve(root.get("$defs", {}).get(ref.removeprefix("#/$defs/"), {}), (*seen, ref)) | {k: v for k, v in s.items() if k != "$ref"}
         out = dict(s)
-        if "properties" in out and len(seen) < 20:
-            out["properties"] = {k: resolve(v, (*seen, f"{ref}/{k}")) for k, v in out["properties"].items()}
+        if "properties" in out:
+            out["properties"] = {k: resolve(v, seen) for k, v in out["properties"].items()}
         return out
 
     rows = list(_schema_rows(resolve(root), chart, lambda at, meta, s: element(at, "CONFIG_KNOB", "helm", chart, path, 1, doc=s.get("description", ""), type=meta, default_value="" if s.get("default") is None else json.dumps(s["default"]))))

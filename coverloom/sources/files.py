@@ -35,41 +35,38 @@ def texts(files: DataFrame) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
-def parse(files: DataFrame, parser: Parser, role: str, **options: object) -> DataFrame:
-    """Rows of one parser over (path, text) or (path, content); a file that fails gives no rows.
+def parse_all(files: DataFrame, parser: Parser, role: str, **options: object) -> DataFrame:
+    """Rows of one parser over (path, text) or (path, content), in one pass: (row, path, error).
 
-    Parsers need line and brace state, so they run in Python, one file at a time and Arrow batches at a time.
+    A file that can't be read gives one row with its error, and none else. Parsers need line and brace state, so
+    they run in Python, one file at a time.
     """
     schema = T._parse_datatype_string(SCHEMAS[role])
-    arrow = _arrow(schema)
+    whole = T.StructType([T.StructField("row", schema), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
+    arrow, names = _arrow(whole), [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[dict] = []
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += list(parser(path, body if body is not None else "", **options))
-                except Exception:  # noqa: BLE001, S112  one bad file must not end the scan
-                    continue
-            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in arrow} for r in rows], schema=arrow)
+                    rows += [{"row": {n: r.get(n) for n in names}, "path": path} for r in parser(path, body if body is not None else "", **options)]
+                except Exception as e:  # noqa: BLE001  one bad file must not end the scan
+                    rows = [r for r in rows if r["path"] != path]
+                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.mapInArrow(run, SCHEMAS[role])
+    return files.mapInArrow(run, whole)
 
 
-def failures(files: DataFrame, parser: Parser, adapter: str, **options: object) -> DataFrame:
-    """(adapter, path, error) of the files that a parser can't read."""
+def parse(files: DataFrame, parser: Parser, role: str, **options: object) -> DataFrame:
+    """The rows of parse_all without the files that can't be read."""
+    return parse_all(files, parser, role, **options).where("error is null").select("row.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    list(parser(path, body if body is not None else "", **options))
-                except Exception as e:  # noqa: BLE001
-                    rows.append({"adapter": adapter, "path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("adapter", pa.string()), ("path", pa.string()), ("error", pa.string())]))
 
-    return files.mapInArrow(run, "adapter string, path string, error string")
+def failures(files: DataFrame, parser: Parser, adapter: str, role: str = "tests", **options: object) -> DataFrame:
+    """(adapter, path, error) of the files that a parser can't read."""
+    return parse_all(files, parser, role, **options).where("error is not null").select(F.lit(adapter).alias("adapter"), "path", "error")
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

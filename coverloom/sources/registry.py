@@ -74,7 +74,9 @@ class Config:
     @classmethod
     def from_json(cls, text: str) -> Config:
         """A configuration with ${NAME} taken from the environment."""
-        raw = json.loads(re.sub(r"\$\{(\w+)\}", lambda m: os.environ.get(m[1], ""), text))
+        if missing := sorted({n for n in re.findall(r"\$\{(\w+)\}", text) if n not in os.environ}):
+            raise ValueError(f"unset in the environment: {', '.join(missing)}")
+        raw = json.loads(re.sub(r"\$\{(\w+)\}", lambda m: os.environ[m[1]], text))
         out = cls([Adapter(**a) for a in raw.get("adapters", [])], raw.get("rules", []))
         out.validate()
         return out
@@ -92,14 +94,24 @@ def from_detection(found: DataFrame) -> Config:
     return Config([Adapter(r["adapter"]) for r in found.select("adapter").orderBy("adapter").collect() if r["adapter"] in SOURCES])  # a row a source
 
 
-def read(all_files: DataFrame, adapter: Adapter) -> DataFrame:
+def own_files(all_files: DataFrame, adapter: Adapter) -> DataFrame:
     source = SOURCES[adapter.name]
     own = all_files.where(files.included(F.col("path"), adapter.include or source.include, adapter.exclude))
-    own = own if source.binary else files.texts(own)
+    return own if source.binary else files.texts(own)
+
+
+def read(all_files: DataFrame, adapter: Adapter) -> DataFrame:
+    source, own = SOURCES[adapter.name], own_files(all_files, adapter)
     rows = source.parser(own) if source.native else files.parse(own, source.parser, source.role, **adapter.options)
     return rows.withColumn("source", F.lit(adapter.name)).withColumn("tier", F.lit("DETERMINISTIC"))
 
 
+def errors(all_files: DataFrame, config: Config) -> DataFrame:
+    """(adapter, path, error) of every file that its source can't read."""
+    parts = [files.failures(own_files(all_files, a), SOURCES[a.name].parser, a.name, SOURCES[a.name].role, **a.options) for a in config.adapters if not SOURCES[a.name].native]
+    return reduce(DataFrame.unionByName, parts) if parts else all_files.sparkSession.createDataFrame([], "adapter string, path string, error string")
+
+
 def scan(all_files: DataFrame, config: Config) -> dict[str, DataFrame]:
     """elements, tests and claims of all sources. A chart's schema suppresses its values file."""
     out: dict[str, list[DataFrame]] = {r: [] for r in files.SCHEMAS}

@@ -6,11 +6,11 @@ from pathlib import Path
 
 import pytest
 
-from coverloom.plans import analysis, corpus, coverage, generated, naming, sources
+from coverloom.plans import analysis, corpus, coverage, generated, naming, operations, sources
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**coverage.QUERIES, **analysis.QUERIES, **sources.QUERIES, **generated.QUERIES, **naming.QUERIES}
-SQL = {**coverage.ORACLE_SQL, **analysis.ORACLE_SQL, **sources.ORACLE_SQL, **generated.ORACLE_SQL, **naming.ORACLE_SQL}
+QUERIES = {**coverage.QUERIES, **analysis.QUERIES, **sources.QUERIES, **generated.QUERIES, **naming.QUERIES, **operations.QUERIES}
+SQL = {**coverage.ORACLE_SQL, **analysis.ORACLE_SQL, **sources.ORACLE_SQL, **generated.ORACLE_SQL, **naming.ORACLE_SQL, **operations.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
