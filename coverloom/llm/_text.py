@@ -183,6 +183,15 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of floating values over [offsets[d], offsets[d+1]), each on its own, so that neighbours don't change its digits."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, offsets[:-1][some])
+    return out
+
+
 def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values over [offsets[d], offsets[d+1])."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import table
-from ._text import Block, blocks, mix, per_doc, ranges
+from ._text import Block, blocks, mix, per_doc, ranges, sums
 
 STATES = 2048
 HEAD = 1 << 18
@@ -202,8 +202,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = folds(docs, id_col, text_col)
     n_docs = folded.where(~F.col("held_out")).count()
     words = table(word_counts(folded), "words")
-    sums = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds")).first()
-    train_tokens, kinds = (sums["tokens"] or 0) + n_docs, sums["kinds"] + (n_docs > 0)
+    totals = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds")).first()
+    train_tokens, kinds = (totals["tokens"] or 0) + n_docs, totals["kinds"] + (n_docs > 0)
     norm = float(np.log10(train_tokens + kinds + 1))
 
     hashes, counts = _hashed(_head(words, max(head, share)))
@@ -245,11 +245,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             # tokens outside the head add their arc without history after the join
             score = weight + np.insert(np.where(found, machine.plain(c), 0.0)[back], block.word_offsets[1:], end_plain) * plain
-        add = lambda v, o: np.diff(np.concatenate(([0.0], np.cumsum(v)))[o])
-        base = add((np.where(found, np.log10(c + 1) - norm, 0.0))[back], block.word_offsets) + end_base
+            base = sums((np.where(found, np.log10(c + 1) - norm, 0.0))[back], block.word_offsets) + end_base
         known = per_doc((c > 0)[back], block.word_offsets) + end_known
         keys, held = batch.column(0).slice(block.first, n), batch.column(3).slice(block.first, n)
-        yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(block.first, n), held, pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(add(score, offsets)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([keys, batch.column(1).slice(block.first, n), held, pa.array(np.diff(offsets)), pa.array(known), pa.array(base), pa.array(sums(score, offsets)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         rest = np.flatnonzero(~found[back])
         if not len(rest):
             return
