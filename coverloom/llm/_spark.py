@@ -67,12 +67,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow, with the session's batches bounded to BATCH_BYTES, so that long texts don't fill a worker."""
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """df.mapInArrow, with the session's batches bounded by bytes, so that long texts don't fill a worker."""
     spark = df.sparkSession
     reachable(spark)
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > batch_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df.mapInArrow(run, schema)
 
 

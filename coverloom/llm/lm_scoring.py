@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import arrow_map, table
 from ._text import Block, blocks, mix, per_doc, ranges, sums
 
 STATES = 2048
 HEAD = 1 << 18
 BUCKET_TOKENS = 1 << 21
+BATCH_BYTES = 8 << 20
 SPLIT = 1 << 16
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 7, 2
@@ -66,12 +67,12 @@ def word_counts(folded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            for block in blocks(batch.column(0), lower=True, limit=1 << 24):
+            for block in blocks(batch.column(0), lower=True, limit=1 << 22):
                 first, back = _distinct(block)
                 counts = np.bincount(back[np.repeat(train[block.first : block.last], block.n_words)], minlength=len(first))
                 yield pa.RecordBatch.from_arrays([_spans(block.data, block.starts[first], block.ends[first]), pa.array(counts.astype(np.int64))], ["word", "c"])
 
-    return folded.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return arrow_map(folded.select("text", "held_out"), run, "word binary, c long", BATCH_BYTES).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class BackoffAutomaton:
@@ -149,7 +150,7 @@ def pair_counts(folded: DataFrame, hashes: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
     train = folded.where(~F.col("held_out")).select("text")
-    return train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return arrow_map(train, run, "pair long, n long", BATCH_BYTES).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 _PARTS = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long, h long"
@@ -289,7 +290,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         to.append(v if isinstance(v, int) else v.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(v, pa.binary()) for v in out[1:])], [f.split()[0] for f in _BUCKETS.split(", ")])
 
-    scored = table(folded.mapInArrow(run, _PARTS), "score-parts")
+    scored = table(arrow_map(folded, run, _PARTS, BATCH_BYTES), "score-parts")
     local = scored.where(F.col("word").isNull()).drop("word", "tf", "h")
     rare = scored.where(F.col("word").isNotNull()).select("key", "held_out", "word", "tf", "h").join(words.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w"))
     total = train_tokens + machine.n_kinds
@@ -304,7 +305,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if whole:
         in_training = F.when(F.col("held_out"), 0).otherwise(F.col("tf"))
         rare = table(rare.withColumn("k", F.sum(in_training).over(Window.partitionBy("word", "h"))).select("key", "held_out", "tf", "h", "c", "k"), "rare-pairs")
-        met = table(folded.select("key", "text", "held_out").mapInArrow(deal, _BUCKETS).groupBy("bucket").applyInArrow(_pairs_met(known_counts, machine, large_ones), _MET), "pair-parts")
+        dealt = arrow_map(folded.select("key", "text", "held_out"), deal, _BUCKETS, BATCH_BYTES)
+        met = table(dealt.groupBy("bucket").applyInArrow(_pairs_met(known_counts, machine, large_ones), _MET), "pair-parts")
         own_total = F.when(F.col("c") > 0, -F.log10("c")).otherwise(0.0)
         arc = F.when(F.col("k") > 0, F.log10(F.col("k") - DISCOUNT)).otherwise(F.log10(share_of))
         part = in_training / F.col("k")  # the training rows of a pair add up to one kind
