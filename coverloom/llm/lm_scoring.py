@@ -35,7 +35,7 @@ from ._text import Block, blocks, mix, per_doc, ranges, sums
 
 STATES = 2048
 HEAD = 1 << 18
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 BATCH_BYTES = 8 << 20
 SPLIT = 1 << 16
 DISCOUNT = 0.5
