@@ -115,7 +115,7 @@ def test_lag_and_chips(spark):
 
 
 def test_affordance_names(spark):
-    names = {"cml:rust/config_example/greeting": "greeting", "argh:create --arch": "arch", "argh:list --include-components": "include_components", "argh:server MAX_CONNECTIONS": "max_connections", "fuchsia.io/Directory.Open": "open", "x:y <fileName>": "file_name", "": ""}
+    names = {"cml:rust/first_example/greeting": "greeting", "argh:make --arch": "arch", "argh:list --include-components": "include_components", "argh:server MAX_CONNECTIONS": "max_connections", "my.io/Directory.Open": "open", "x:y <fileName>": "file_name", "": ""}
     rows = spark.createDataFrame([(k,) for k in names], "id string")
     assert {r[0]: r[1] for r in rows.select("id", T.affordance_name(F.col("id"))).collect()} == names
 
