@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, packing."""
+"""A corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark passages, packing.
+
+Defined cases of the stages: a null or empty text fails the quality rules; later stages keep such a row, which is
+like no other, and packing gives it one piece with the end id. Rows of equal id and equal text are one document to
+the near-duplicate stage; equal ids with other texts are documents of their own everywhere. A null id is never a
+near-duplicate. Very long texts are read whole. Empty tables give empty tables, and columns of any name are kept
+up to packing, which returns pieces.
+"""
 
 from __future__ import annotations
 
