@@ -130,8 +130,46 @@ def test_external_source(spark, tmp_path):
 def test_mentions_claim_the_longest_form(spark):
     from coverloom.sources import grounding
 
-    docs = spark.createDataFrame([("d", "# Open Dir\nThe open dir and opens, `open`.")], "path string, text string")
-    lexicon = spark.createDataFrame([("open", "e1"), ("open dir", "e2"), ("open dir", "e3")], "form string, element_id string")
-    got = sorted((r.offset, r.element_id, r.anchor) for r in grounding.scan(docs, lexicon).collect())
-    assert got == [(2, "e2", "heading"), (2, "e3", "heading"), (15, "e2", "prose"), (15, "e3", "prose"), (28, "e1", "prose"), (36, "e1", "backtick")]
-    assert grounding.forms("ReleaseImageService", frozenset({"service"})) == ["releaseimageservice", "release image service", "image service"]
+    docs = spark.createDataFrame([("d", "# Open Dir\nThe open dir and opens, `open`, open-dir, reopen."), ("n", None), ("e", "")], "path string, text string")
+    forms = spark.createDataFrame([("open",), ("open dir",), ("open dir and never",), ("",), ("--",), (None,)], "form string")
+    got = sorted((r.path, r.offset, r.form, r.token, r.qualified) for r in grounding.scan(docs, forms).collect())
+    assert got == [("d", 15, "open dir", "open dir", False), ("d", 28, "open", "opens", False), ("d", 36, "open", "open", True), ("d", 43, "open", "open", False)]
+
+
+def test_lexicon_forms(spark):
+    from coverloom.sources import grounding
+
+    rows = grounding.lexicon(spark.createDataFrame([("lib/ReleaseImageService",), ("lib/Service",), ("lib/HTTPServer2",), ("lib/Ab",)], "id string")).collect()
+    got = sorted((r.display, r.form, r.collision, r.exact) for r in rows)
+    assert got == [
+        ("HTTPServer2", "httpserver2", False, True),
+        ("ReleaseImageService", "release image service", False, True),
+        ("ReleaseImageService", "releaseimageservice", False, True),
+        ("ReleaseImageService", "service", True, False),
+        ("Service", "service", True, True),
+    ]
+
+
+def test_grounding_anchors_and_suppression(spark):
+    from coverloom.sources import grounding
+
+    forms = grounding.lexicon(spark.createDataFrame([("f/Node",), ("f/NodeController",), ("f/Driver",)], "id string"))
+    pages = [
+        ("reference.md", "# A\n\nA [node][n] runs.\n\n[n]: /ref/f#Node\n", ["GROUNDED", "GROUNDED"]),
+        ("other-link.md", "# A\n\nA [node](/glossary#board-nodes) runs.\n", ["GUESSING", "UNGROUNDED"]),
+        ("heading.md", "# A\n\n## The node topology\n\nEach node runs.\n", ["GUESSING"]),
+        ("bold.md", "# A\n\nThe **driver** runs. A driver stops.\n", ["GROUNDED", "GROUNDED"]),
+        ("sections.md", "# A\n\n## B\n\nThe `driver` runs.\n\n## C\n\nA driver stops.\n", ["GROUNDED", "UNGROUNDED"]),
+        ("name.md", "# A\n\nOne node controller runs.\n", ["GROUNDED"]),
+        ("capital.md", "# A\n\nThe Driver runs.\n", ["GROUNDED"]),
+        ("first.md", "# A\n\nDrivers run.\n", ["GUESSING"]),
+        ("quiet.md", "# A\n\nA driver runs.\n", []),
+        ("muted.md", "# A\n\nA driver meets a node.\n", ["UNGROUNDED"]),
+    ]
+    docs = spark.createDataFrame([p[:2] for p in pages], "path string, text string")
+    muted = spark.createDataFrame([("quiet.md", "*", None), ("muted.md", "Driver", "f/Driver"), ("muted.md", "node", "f/Driver")], "path string, token string, element_id string")
+    found = grounding.findings(docs, forms, muted).collect()
+    for path, _, states in pages:
+        assert [r.state for r in sorted(found, key=lambda r: r.offset) if r.path == path] == states, path
+    assert next(r.severity for r in found if r.path == "muted.md") == 0.64  # two terms in the section
+    assert next(r.excerpt for r in found if r.path == "first.md") == "Drivers run."
