@@ -196,14 +196,6 @@ def long_flags(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(--[a-z][a-z0-9-]*)"), F.lit(1)))
 
 
-def proto_refs(text: Column) -> Column:
-    """Dotted and slashed names of methods such as pkg.v1.Service/Call, each in both forms, sorted."""
-    slashed = F.regexp_extract_all(text, F.lit(r"((?:[a-z][a-z0-9_]*\.)+[A-Z]\w*/[A-Z]\w*)"), F.lit(1))
-    dotted = F.transform(slashed, lambda x: F.replace(x, F.lit("/"), F.lit(".")))
-    forms = F.transform(slashed, lambda x: F.regexp_replace(x, r"\.([A-Z]\w*)/([A-Z]\w*)$", r"/$1.$2"))
-    return F.array_sort(F.array_union(dotted, forms))
-
-
 def cpp_refs(text: Column) -> Column:
     """Macro calls and qualified names of C++ sources."""
     macros = F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9_]{2,})\s*\("), F.lit(1))

@@ -59,10 +59,14 @@ def implementors(elements: DataFrame, edges: DataFrame, kinds: tuple[str, ...] =
 
 
 def bridge_evidence(rows: DataFrame, same_as: DataFrame) -> DataFrame:
-    """Evidence united over SAME_AS pairs (a, b), both ways and one hop; multiplicity is kept."""
+    """Evidence united over SAME_AS pairs (a, b), both ways and one hop; multiplicity is kept.
+
+    Reference pages of dockerdoc stay with their own element.
+    """
     pairs = same_as.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct()
     both = pairs.select(F.col("x").alias("element_id"), F.col("y").alias("to")).unionByName(pairs.select(F.col("y").alias("element_id"), F.col("x").alias("to")))
-    shared = rows.join(both, "element_id").drop("element_id").withColumnRenamed("to", "element_id")
+    given = rows.where(F.coalesce(F.col("bucket"), F.lit("")) != "reference.dockerdoc") if "bucket" in rows.columns else rows
+    shared = given.join(both, "element_id").drop("element_id").withColumnRenamed("to", "element_id")
     return rows.unionByName(shared.select(rows.columns))
 
 

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-NAME_TOKEN_KINDS = ("SUBCOMMAND",)
+#: Kinds that names of tests may attest, beside direct references, which all kinds admit. Fixed values.
+NAME_TOKEN_KINDS = ("SUBCOMMAND", "LIBRARY", "CONFIG_FACET")
+
+
+def admits(kind: Column, strategy: str) -> Column:
+    """Whether a kind admits a strategy, direct_ref or name_tokens; unknown kinds admit direct references only."""
+    if strategy == "direct_ref":
+        return F.lit(True)
+    return F.coalesce(kind.isin(*NAME_TOKEN_KINDS), F.lit(False)) if strategy == "name_tokens" else F.lit(False)
 
 
 def exact(refs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None
         bridged = ~F.array_contains("own", F.col("token"))
         kept = listed.join(blocked.select(F.col("token").alias("stop")), (F.col("token") == F.col("stop")) & bridged, "left_anti")
         t = t.join(kept.groupBy("test_id").agg(F.collect_set("token").alias("tokens")), "test_id")
-    wide = elements.where(F.col("kind").isin(*NAME_TOKEN_KINDS) & (F.instr("id", " ") > 0))
+    wide = elements.where(admits(F.col("kind"), "name_tokens") & (F.instr("id", " ") > 0))
     depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     forms = wide.select("id", F.lower("library").alias("lib"), F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where(depth(F.col("form")) >= depth(F.col("id")))
     forms = forms.withColumn("required", F.filter(T.id_tokens(F.col("form")), lambda x: x != F.col("lib"))).where(F.size("required") > 0)

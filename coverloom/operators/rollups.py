@@ -201,9 +201,11 @@ def monorepo(rows: DataFrame, by: str = "library") -> DataFrame:
 
 
 def anomalies(findings: DataFrame, confidence: Column) -> DataFrame:
-    """Findings by cause with their least and greatest confidence, largest group first."""
+    """Findings by cause with their least and greatest confidence, largest group first; of equal ones that seen first in report order."""
     own = findings.withColumn("_c", confidence)
-    return own.groupBy(F.col("kind").alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.min("_c").alias("low"), F.max("_c").alias("high")).orderBy(F.desc("n"), "cause")
+    place = F.min(F.struct("subject", "kind", "id")).alias("_first")
+    out = own.groupBy(F.col("kind").alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.min("_c").alias("low"), F.max("_c").alias("high"), place)
+    return out.orderBy(F.desc("n"), "_first").drop("_first")
 
 
 def concept_verdicts(mentions: DataFrame, elements: DataFrame) -> DataFrame:

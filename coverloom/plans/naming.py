@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import references
 from ..functions import text as T
 from ..operators import graph, matching
 from .corpus import load
@@ -50,7 +51,7 @@ SAID = """SELECT p_partkey, CAST(p_partkey AS STRING) AS k, concat('Test', upper
 
 def q_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(SAID, part=load(spark, sf_dir, "part"))
-    listed = {"tokens": T.split_mixed(F.col("name")), "proto": T.proto_refs(F.col("proto")), "cpp": T.cpp_refs(F.col("cpp")), "flags": T.long_flags(F.col("flags"))}
+    listed = {"tokens": T.split_mixed(F.col("name")), "proto": references.proto_references(F.col("proto")), "cpp": T.cpp_refs(F.col("cpp")), "flags": T.long_flags(F.col("flags"))}
     return rows.select("p_partkey", T.is_qualified(F.col("mention")).alias("qualified"), *(F.array_join(c, ",").alias(n) for n, c in listed.items()))
 
 
@@ -60,15 +61,26 @@ def q_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ambiguous_tokens(names)
 
 
-QUERIES = {"command_names": q_command_names, "inherited_docs": q_inherited_docs, "macro_aliases": q_macros, "source_references": q_references, "ambiguous_tokens": q_ambiguous}
+#: Blocks whose declarations follow one another; the name before any package and the noise stand outside.
+BLOCKS = """SELECT p_partkey, concat('rpc Early (A)\nservice Free {{\n  rpc Do (B)\n}}\npackage a.v', CAST(p_partkey AS STRING), ';\nservice Near {{\n  rpc Get (A) returns (B);\n}}\nsee www.Google.Thing, b.Far and b.Far/Call') AS block FROM {part}"""
+
+
+def q_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(BLOCKS, part=load(spark, sf_dir, "part"))
+    return rows.select("p_partkey", F.explode(references.proto_references(F.col("block"))).alias("ref"))
+
+
+QUERIES = {"proto_scopes": q_scopes, "command_names": q_command_names, "inherited_docs": q_inherited_docs, "macro_aliases": q_macros, "source_references": q_references, "ambiguous_tokens": q_ambiguous}
 
 ORACLE_SQL = {
+    "proto_scopes": """SELECT p_partkey, unnest(['Early', 'Free', 'Free.Do', concat('a.v', p_partkey, '.Near'), concat('a.v', p_partkey, '/Near'), concat('a.v', p_partkey, '.Near.Get'), concat('a.v', p_partkey, '/Near.Get'),
+        'b.Far', 'b/Far', 'b.Far.Call', 'b/Far.Call']) AS ref FROM part""",
     "command_names": "WITH e AS (" + COMMANDS.format(part="part") + "), t AS (" + COMMAND_TESTS.format(part="part") + ") SELECT test_id, id AS element_id FROM t JOIN e USING (words) WHERE way % 4 <> 2 AND way <> 7",
     "inherited_docs": """WITH own AS (SELECT p_partkey, p_partkey % 10 AS base, p_partkey % 3 AS way FROM part), n AS (SELECT base, count(*) AS n FROM own WHERE way < 2 GROUP BY base)
         SELECT concat('lib/P', CAST(p_partkey AS STRING), '.Open') AS element_id, coalesce(n, 0) + CASE WHEN way = 2 THEN 1 ELSE 0 END AS n FROM own LEFT JOIN n USING (base) WHERE way = 2 OR n > 0
         UNION ALL SELECT concat('lib/B', CAST(base AS STRING), '.Open'), n FROM n""",
     "macro_aliases": "SELECT concat('M', CAST(a.p_partkey AS STRING)) AS name, concat('M', CAST(b.p_partkey AS STRING)) AS target FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 3 = 0",
-    "source_references": """SELECT p_partkey, p_partkey % 4 <> 0 AS qualified, concat(replace(p_name, ' ', ',up'), ',sub,', replace(p_name, ' ', ',')) AS tokens, concat('gen.v', p_partkey, '.Svc.Get,gen.v', p_partkey, '/Svc.Get') AS proto,
+    "source_references": """SELECT p_partkey, p_partkey % 4 <> 0 AS qualified, concat(replace(p_name, ' ', ',up'), ',sub,', replace(p_name, ' ', ',')) AS tokens, concat('gen.v', p_partkey, '.Svc,gen.v', p_partkey, '.Svc.Get,gen.v', p_partkey, '/Svc,gen.v', p_partkey, '/Svc.Get') AS proto,
         concat('MAX_', p_partkey, ',gen::C', p_partkey, '::Get') AS cpp, concat('--', replace(p_name, ' ', '-'), ',--a') AS flags FROM part""",
     "ambiguous_tokens": """WITH n AS (SELECT DISTINCT concat(replace(p_name, ' ', ''), CASE WHEN p_size % 2 = 0 AND p_type < 'M' THEN 's' ELSE '' END) AS w FROM part)
         SELECT unnest([a.w, b.w]) AS token FROM n a JOIN n b ON b.w = concat(a.w, 's')""",

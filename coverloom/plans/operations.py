@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import findings, matching, ops, rollups
+from ..operators import findings, matching, ops, panels, rollups
 from . import corpus
 from .corpus import load, relation, with_relations
 from .coverage import ANALYZERS, BASE, EVIDENCE, PROFILES, SQL_FINDINGS, analyzed, evidence_rows, profile_rows, q_findings, tests
@@ -62,7 +62,27 @@ def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", T.search_term(F.col("id"), F.col("kind")).alias("term"), T.is_noise_package(F.col("package")).alias("noise"), scope.alias("in_scope"))
 
 
+CARDS = """SELECT l_partkey AS element_id, CASE l_returnflag WHEN 'A' THEN 'docs' WHEN 'R' THEN 'tests' ELSE 'examples' END AS surface,
+    concat('f', CAST(l_suppkey AS STRING), CASE WHEN l_suppkey % 2 = 0 THEN '.go' ELSE '.md' END) AS path, CAST(l_linenumber * 5 AS INT) AS line FROM {lineitem}"""
+CARD_FILES = """SELECT concat('f', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN '.go' ELSE '.md' END) AS path,
+    array_join(transform(sequence(1, CAST(12 + s_suppkey % 9 AS INT)), i -> concat('x', CAST(i AS STRING))), '\n') AS text FROM {supplier}"""
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(CARDS, lineitem=load(spark, sf_dir, "lineitem"))
+    return panels.cards(rows, spark.sql(CARD_FILES, supplier=load(spark, sf_dir, "supplier")))
+
+
+def q_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces present and absent; the element of every third part stands where a card of it may stand."""
+    els = load(spark, sf_dir, "part").selectExpr("p_partkey AS id", "'f1.md' AS path", "5 AS line")
+    found = panels.panels(els, _cards(spark, sf_dir))
+    return found.select("element_id", F.array_join("present", ",").alias("present"), F.array_join("absent", ",").alias("absent"), "inline")
+
+
 QUERIES = {
+    "evidence_cards": lambda s, d: _cards(s, d).withColumn("place", F.col("place").cast("int")),
+    "evidence_panels": q_panels,
     "lag_run": lambda s, d: rollups.lag_run(_pairs(s, d)),
     "lag_pairs": lambda s, d: _pairs(s, d).groupBy("element_id").agg(F.count(F.lit(1)).alias("refs"), F.count_if("inline").alias("inline"), F.max("days").alias("days")),
     "query_contract": q_contracts,
@@ -81,7 +101,13 @@ _PAIRS = EVIDENCE + ", times AS (" + TIMES + """), known AS (SELECT * FROM times
         (SELECT max(ts) FROM known k WHERE k.path = e.path AND k.line = 0) AS code_ts FROM refs r JOIN elements e ON e.id = r.element_id),
     pairs AS (SELECT element_id, path = code_path AS inline, CASE WHEN path <> code_path THEN greatest(code_ts - doc_ts, 0) // 86400 + CASE WHEN doc_ts IS NULL OR code_ts IS NULL THEN NULL ELSE 0 END END AS days FROM stamped) """
 
+_CARDS = "WITH own AS (SELECT DISTINCT * FROM (" + CARDS.format(lineitem="lineitem") + """)), r AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY element_id, surface) AS n FROM own WINDOW w AS (PARTITION BY element_id, surface ORDER BY path, line)),
+    cards AS (SELECT element_id, surface, CAST(place AS INT) AS place, path, line, rtrim(array_to_string([concat('x', i) FOR i IN range(line, least(line + CASE WHEN path LIKE '%.go' THEN 16 ELSE 12 END, 13 + CAST(substr(split_part(path, '.', 1), 2) AS INT) % 9))], chr(10))) AS excerpt, greatest(n - 3, 0) AS extra FROM r WHERE place <= 3) """
+
 ORACLE_SQL = {
+    "evidence_cards": _CARDS + "SELECT * FROM cards",
+    "evidence_panels": _CARDS + """, s AS (SELECT p_partkey, coalesce(list(DISTINCT surface) FILTER (surface IS NOT NULL), []) AS have, coalesce(bool_and(path = 'f1.md' AND line = 5) FILTER (surface = 'docs'), false) AS inline FROM part LEFT JOIN cards ON element_id = p_partkey GROUP BY p_partkey)
+        SELECT p_partkey AS element_id, array_to_string(list_sort(have), ',') AS present, array_to_string([x FOR x IN ['docs', 'workflows', 'tests', 'examples'] IF NOT list_contains(have, x)], ',') AS absent, inline FROM s""",
     "lag_run": _PAIRS + """SELECT count(days) AS pairs, count(*) FILTER (inline) AS inline, count(*) FILTER (NOT inline AND days IS NULL) AS unknown, count(*) FILTER (days <= 0) AS fresh, count(*) FILTER (days > 0 AND days <= 30) AS recent,
         count(*) FILTER (days > 30 AND days <= 180) AS aging, count(*) FILTER (days > 180) AS stale, CAST(floor(quantile_cont(days, 0.5) + 0.5) AS BIGINT) AS p50, CAST(floor(quantile_cont(days, 0.9) + 0.5) AS BIGINT) AS p90 FROM pairs""",
     "lag_pairs": _PAIRS + "SELECT element_id, count(*) AS refs, count(*) FILTER (inline) AS inline, max(days) AS days FROM pairs GROUP BY element_id",

@@ -16,7 +16,8 @@ from ..session import reachable
 ELEMENTS = "id string, kind string, ecosystem string, library string, path string, line int, doc string, type string, default_value string, aliases array<string>, edges array<struct<kind:string,target:string>>"
 TESTS = "test_id string, framework string, name string, path string, line int, name_tokens array<string>, refs array<string>"
 CLAIMS = "path string, line int, kind string, adapter string, text string, words int, refs array<string>, section array<string>"
-SCHEMAS = {"elements": ELEMENTS, "tests": TESTS, "claims": CLAIMS}
+EDGES = "src_id string, kind string, target_id string, path string, line int"
+SCHEMAS = {"elements": ELEMENTS, "tests": TESTS, "claims": CLAIMS, "implements": EDGES}
 
 Parser = Callable[..., Iterator[dict]]
 

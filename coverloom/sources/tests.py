@@ -62,6 +62,59 @@ def invocation_refs(words: list[str], binary: str) -> list[str]:
     return refs + [f"{' '.join(path)} {m[0]}" for m in flags if m]
 
 
+def canonical_invocation(args: list[str], binary: str, valued: frozenset[str] = frozenset(), plain: frozenset[str] = frozenset()) -> tuple[list[str], list[str], bool]:
+    """(commands, flags, dynamic) of the literal arguments of a call.
+
+    Global flags before the subcommand, `valued` ones with their value, are taken off and credited to the binary.
+    A call without any literal subcommand or global flag is dynamic.
+    """
+    rest = [a for a in args if a.strip()]
+    credited: list[str] = []
+    while rest and (m := re.match(r"--([a-z][a-z0-9-]*)(=.*)?$", rest[0])) and m[1] in valued | plain:
+        credited.append(f"{binary} --{m[1]}")
+        rest = rest[1:]
+        if m[1] in valued and not m[2] and rest and not rest[0].startswith("-"):
+            rest = rest[1:]
+    refs = [r for r in invocation_refs([binary, *rest], binary) if r != binary]
+    commands = [r for r in refs if " --" not in r]
+    flags = [r for r in refs if " --" in r] if commands else []
+    return commands, list(dict.fromkeys(flags + credited)), not commands and not credited
+
+
+#: Methods of Rust's standard library, which never are calls of a protocol. Fixed values.
+RUST_METHODS = frozenset(
+    "unwrap expect clone to_string as_str as_ref as_mut into from default new with_capacity push pop len is_empty iter into_iter next collect "
+    "map filter fold for_each and_then or_else ok err borrow borrow_mut lock read write send recv spawn await poll ready pending contains insert "
+    "remove get set take replace drop as_bytes to_owned clone_from eq hash cmp partial_cmp ne abs min max saturating_add".split()
+)
+
+
+def _camel(name: str) -> str:
+    return "".join(p[:1].upper() + p[1:] for p in name.split("_"))
+
+
+def imported_libraries(text: str, prefix: str) -> list[str]:
+    """Protocol libraries below `prefix` that a C++ or Rust source includes or uses."""
+    q = re.escape(prefix)
+    folders = re.findall(rf'#include\s+[<"]({q}(?:/[a-z0-9_]+)+)/cpp/[a-z]+\.h[>"]', text)
+    dotted = re.findall(rf'#include\s+[<"]fidl/({q}\.[a-z0-9.]+)/cpp/[a-z]+\.h[>"]', text)
+    used = re.findall(rf"use\s+(?:fidl_)?({q}(?:_[a-z0-9_]+)+)", text)
+    return sorted({f.replace("/", ".") for f in folders} | set(dotted) | {u.replace("_", ".") for u in used})
+
+
+def scoped_calls(body: str, libraries: list[str], rust: bool = False) -> list[str]:
+    """What calls on variables may mean in each imported library: the protocol of the variable's name, and any protocol for a method of several words."""
+    refs = set()
+    for name, method in re.findall(r"\b([a-z][a-z0-9_]*)" + (r"\.([a-z][a-z0-9_]*)" if rust else r"(?:->|\.)([A-Z]\w*)") + r"\s*\(", body):
+        name = name if rust else name.rstrip("_")
+        if len(name) < 3 or (rust and method in RUST_METHODS):
+            continue
+        protocol, call = (name[0].upper() + name[1:], _camel(method)) if rust else (_camel(name), method)
+        several = re.search(r"[a-z][A-Z]", call)
+        refs |= {f"{lib}/{protocol}.{call}" for lib in libraries} | ({f"{lib}/*.{call}" for lib in libraries} if several else set())
+    return sorted(refs)
+
+
 def qualified_refs(body: str) -> list[str]:
     """lib/Protocol.Method of C++ (::) and Rust (::) names."""
     return sorted({f"{lib.rstrip(':.').replace('::', '.')}/{p}.{m}" for lib, p, m in _FIDL_REF.findall(body)})
@@ -76,13 +129,14 @@ def bats(files: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("::", "path", "name").alias("test_id"), F.lit("bats").alias("framework"), "name", "path", (F.col("at") + 1).alias("line"), none.alias("name_tokens"), none.alias("refs"))
 
 
-def gtest(path: str, text: str, macros: tuple[str, ...] = ()) -> Iterator[dict]:
+def gtest(path: str, text: str, macros: tuple[str, ...] = (), idl_prefix: str = "") -> Iterator[dict]:
+    scope = imported_libraries(text, idl_prefix) if idl_prefix else []
     pattern = re.compile(r"\b(" + "|".join(("TEST", "TEST_F", "TEST_P", *macros)) + r")\s*\(\s*(\w+)\s*,\s*(\w+)\s*[),]")
     found = list(pattern.finditer(text))
     for m, after in zip(found, [*(x.start() for x in found[1:]), len(text)], strict=True):
         name = f"{m[2]}.{m[3]}"
         pieces = [p.lower() for p in re.split(r"(?<=[a-z])(?=[A-Z])|[._]", name) if p]
-        yield {"test_id": name, "framework": "gtest", "name": name, "path": path, "line": line_of(text, m.start()), "name_tokens": pieces, "refs": qualified_refs(text[m.end() : after])}
+        yield {"test_id": name, "framework": "gtest", "name": name, "path": path, "line": line_of(text, m.start()), "name_tokens": pieces, "refs": sorted({*qualified_refs(text[m.end() : after]), *scoped_calls(text[m.end() : after], scope)})}
 
 
 def protocpp(path: str, text: str, idl_prefix: str = "") -> Iterator[dict]:
@@ -114,12 +168,13 @@ def gotest(path: str, text: str, binary: str = "") -> Iterator[dict]:
             yield common | {"test_id": f"{base}::{m[1]}/{sub[1]}", "name": f"{m[1]}/{sub[1]}", "line": line_of(text, text.find(body) + sub.start()), "name_tokens": tokens(m[1]) + tokens(sub[1])}
 
 
-def rust_test(path: str, text: str, binary: str = "") -> Iterator[dict]:
+def rust_test(path: str, text: str, binary: str = "", idl_prefix: str = "") -> Iterator[dict]:
+    scope = imported_libraries(text, idl_prefix) if idl_prefix else []
     module = re.sub(r"\.rs$", "", path).replace("/", "::")
     whole: list[str] = []
     for m in re.finditer(r"#\[(?:\w+::)*test\b[^\]]*\]\s*(?:#\[[^\]]*\]\s*)*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", text):
         body = braced(text, m.end())
-        refs = qualified_refs(body)
+        refs = qualified_refs(body) + scoped_calls(body, scope, rust=True)
         if binary:
             calls = [invocation_refs([binary, *re.findall(r'"([^"]*)"', a)], binary) for a in re.findall(r"&?\[([^\]]*)\]", body)]
             refs += [r for c in calls for r in c if r != binary]

@@ -173,3 +173,65 @@ def test_grounding_anchors_and_suppression(spark):
         assert [r.state for r in sorted(found, key=lambda r: r.offset) if r.path == path] == states, path
     assert next(r.severity for r in found if r.path == "muted.md") == 0.64  # two terms in the section
     assert next(r.excerpt for r in found if r.path == "first.md") == "Drivers run."
+
+
+def test_canonical_invocations():
+    from coverloom.sources.tests import canonical_invocation as call
+
+    flags = {"valued": frozenset({"target", "config"}), "plain": frozenset({"strict"})}
+    assert call(["--target", "dev", "--strict", "audio", "gen", "--rate", "5"], "tool", **flags) == (
+        ["tool audio", "tool audio gen"],
+        ["tool audio gen --rate", "tool --target", "tool --strict"],
+        False,
+    )
+    assert call(["--config=x", "audio"], "tool", **flags) == (["tool audio"], ["tool --config"], False)
+    assert call(["--target"], "tool", **flags) == ([], ["tool --target"], False)
+    assert call(["", " "], "tool", **flags) == ([], [], True)
+    assert call(["--other", "5"], "tool", **flags) == ([], [], True)
+
+
+def test_calls_in_the_scope_of_imports():
+    from coverloom.sources import tests
+
+    cc = '#include <org/ui/view/cpp/fidl.h>\n#include "fidl/org.io/cpp/wire.h"\nTEST(A, B) { view_ref_->SetAngle(1); x->Get(); dir.Get(); }\n'
+    assert next(tests.gtest("a.cc", cc, idl_prefix="org"))["refs"] == ["org.io/*.SetAngle", "org.io/Dir.Get", "org.io/ViewRef.SetAngle", "org.ui.view/*.SetAngle", "org.ui.view/Dir.Get", "org.ui.view/ViewRef.SetAngle"]
+    assert next(tests.gtest("a.cc", cc))["refs"] == []
+    rs = "use fidl_org_io::*;\n#[test]\nfn reads() { session.get_angle(); session.unwrap(); s.open(); }\n"
+    assert next(tests.rust_test("a.rs", rs, idl_prefix="org"))["refs"] == ["org.io/*.GetAngle", "org.io/Session.GetAngle"]
+
+
+def test_snapshots_are_read_as_written(spark, tmp_path):
+    from coverloom.plans import sinks
+
+    def part(name, *rows):
+        return spark.createDataFrame(rows, sinks.SNAPSHOT[name])
+
+    def library(name):
+        return {
+            "elements": part("elements", (f"{name}/A", "TYPE", name, "a.x", 1), (f"{name}/B", "TYPE", name, None, None)),
+            "profiles": part("profiles", (f"{name}/A", "TYPE", name, 1, 0, 2, 2, 0, 1, 3, "examples")),
+            "findings": part("findings", (f"f:{name}/A", "THIN_REFERENCE", f"{name}/A", "INFO", "thin-reference")),
+        }
+
+    whole = sinks.united([library("l"), library("m")])
+    sinks.write_snapshot(whole, str(tmp_path / "s"))
+    again = sinks.read_snapshot(spark, str(tmp_path / "s"))
+    for name, df in whole.items():
+        assert again[name].columns == df.columns
+        assert sorted(map(tuple, again[name].collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    spark.sql("SELECT 'x' AS id, 9 AS schema_version").write.json(str(tmp_path / "o" / "elements"))
+    for name in ("profiles", "findings"):
+        whole[name].write.json(str(tmp_path / "o" / name))
+    with pytest.raises(Exception, match="snapshot version 9"):
+        sinks.read_snapshot(spark, str(tmp_path / "o"))["elements"].collect()
+
+
+def test_reference_pages_of_images_are_not_shared(spark):
+    from coverloom.operators import graph, matching
+
+    rows = spark.createDataFrame([("a", "concept"), ("a", "reference.dockerdoc"), ("b", "reference.clidoc")], "element_id string, bucket string")
+    both = graph.bridge_evidence(rows, spark.createDataFrame([("a", "b")], "a string, b string"))
+    assert sorted(map(tuple, both.collect())) == [("a", "concept"), ("a", "reference.clidoc"), ("a", "reference.dockerdoc"), ("b", "concept"), ("b", "reference.clidoc")]
+    kinds = spark.createDataFrame([("SUBCOMMAND",), ("FLAG",), ("LIBRARY",), ("NEW",), (None,)], "kind string")
+    got = kinds.select(matching.admits(kinds.kind, "name_tokens"), matching.admits(kinds.kind, "direct_ref")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, True), (True, True), (False, True), (False, True)]
