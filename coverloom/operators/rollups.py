@@ -221,10 +221,38 @@ def region_tally(verdicts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def hardening(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows by tier, and symbols that only proposed rows name."""
+    """Rows by tier, and symbols that only proposed rows name: no deterministic row has their local name."""
+    local = F.substring_index(F.regexp_replace("element_id", "^[^/]*/", ""), "::", -1)
+    named = rows.select("tier", "element_id", local.alias("local"))
     tiers = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tier")
-    sure = rows.where("tier <> 'LLM'").select("element_id").distinct()
-    return tiers, rows.where("tier = 'LLM'").select("element_id").distinct().join(sure, "element_id", "left_anti")
+    sure = named.where("tier <> 'LLM'").select("local").distinct()
+    return tiers, named.where("tier = 'LLM'").join(sure, "local", "left_anti").select("element_id").distinct()
+
+
+#: What replaces proposed rows: formats with a schema and grammars of workflows, with their rungs (1 schema, 2 cheap, 3 extension, 4 irreducible). Fixed values.
+SCHEMA_ADAPTERS = ("proto", "fidl", "clap", "cml")
+TRANSFORM_RUNGS = {"workflow-cli-grammar": 2, "workflow-yaml-grammar": 1, "workflow-prose": 4}
+
+
+def hardening_backlog(detected: DataFrame, workflows: DataFrame) -> DataFrame:
+    """(rung, entry, rows, dominant): deterministic replacements by the rows that they would pin, then by rung.
+
+    detected has (adapter, files); workflows has proposed workflows (transform, text). The dominant key is the
+    command that leads most texts of the command grammar, or the package that most names of the yaml grammar
+    begin with; the least of equal ones.
+    """
+    schemas = detected.where(F.col("adapter").isin(*SCHEMA_ADAPTERS) & (F.col("files") > 0))
+    schemas = schemas.select(F.lit(1).alias("rung"), F.concat(F.lit("schema:"), "adapter").alias("entry"), F.col("files").cast("long").alias("rows"), F.lit(None).cast("string").alias("dominant"))
+    command = F.substring_index(F.regexp_extract("text", r"^\s*(?:[$>] )?\s*(\S+)", 1), "/", -1)
+    package = F.regexp_extract("text", r"([A-Za-z_]\w*)\.[A-Za-z_]\w*", 1)
+    key = F.when(F.col("transform") == "workflow-cli-grammar", command).when(F.col("transform") == "workflow-yaml-grammar", package)
+    rung = F.lit(None).cast("int")
+    for name, level in TRANSFORM_RUNGS.items():
+        rung = F.when(F.col("transform") == name, level).otherwise(rung)
+    counted = workflows.withColumn("rung", rung).where("rung is not null").groupBy("rung", "transform", F.nullif(key, F.lit("")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("key").isNotNull(), F.struct((-F.col("n")).alias("n"), "key")))["key"]
+    entries = counted.groupBy("rung", "transform").agg(F.sum("n").alias("rows"), best.alias("dominant"))
+    return schemas.unionByName(entries.select("rung", F.col("transform").alias("entry"), "rows", "dominant")).orderBy(F.desc("rows"), "rung", "entry")
 
 
 def grounding(rows: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.globs import CONTAMINATED
 
-DENOMINATOR_SHARE = 0.15
+#: Percent at or below which a share is suspicious.
+DENOMINATOR_SHARE = 15
 
 
 def smearing(refs: DataFrame, min_refs: int = 8, max_files: int = 2) -> DataFrame:
@@ -25,10 +27,33 @@ def name_collisions(elements: DataFrame) -> DataFrame:
     return elements.groupBy(F.lower("id").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def denominator_effect(rows: DataFrame, share: float = DENOMINATOR_SHARE) -> DataFrame:
-    """One row: whether a pooled share is low only because secondary kinds dilute the primary one."""
-    own = rows.agg(F.avg(F.col("covered").cast("double")).alias("pooled"), F.avg(F.when(F.col("tier") == "primary", F.col("covered").cast("double"))).alias("primary"))
-    return own.withColumn("effect", (F.col("pooled") <= share) & (F.col("primary") >= 2 * share) & (F.col("primary") - F.col("pooled") >= share))
+def denominator_effect(rows: DataFrame, share: int = DENOMINATOR_SHARE) -> DataFrame:
+    """By surface, in whole percent: whether the pooled share is low only because the modifier tier dilutes the primary one.
+
+    rows has (surface, tier, covered); surfaces without rows of both tiers show no effect.
+    """
+    of = lambda tier: F.col("tier") == tier
+    got = lambda where, name: T.percent(F.count_if(F.col("covered") & where), F.count_if(where)).alias(name)
+    own = rows.groupBy("surface").agg(
+        got(F.lit(True), "pooled"), got(of("primary"), "primary"), got(of("modifier"), "modifier"),
+        (F.bool_or(of("primary")) & F.bool_or(of("modifier"))).alias("both"),
+    )
+    low = (F.col("pooled") <= share) & (F.col("primary") >= 2 * share) & (F.col("primary") - F.col("pooled") >= share)
+    return own.withColumn("effect", F.col("both") & low).drop("both")
+
+
+def metrics(rows: DataFrame, reported: DataFrame, share: int = DENOMINATOR_SHARE) -> DataFrame:
+    """Each reported percentage against its own numerator and denominator, within one percent.
+
+    rows has (tier, surface, covered), reported (tier, surface, percent). A figure that isn't reproduced is an
+    error; one of exactly 0 or of `share` and less is a warning.
+    """
+    counted = rows.groupBy("tier", "surface").agg(F.count_if("covered").alias("numerator"), F.count(F.lit(1)).alias("denominator"))
+    out = counted.join(reported, ["tier", "surface"]).withColumn("expected", T.percent(F.col("numerator"), F.col("denominator")))
+    off = F.abs(F.col("expected") - F.col("percent")) > 1
+    finding = F.when(off, "reconcile").when(F.col("percent") == 0, "zero_surface").when(F.col("percent") <= share, "low_coverage")
+    severity = F.when(off, "ERROR").when(F.col("percent") <= share, "WARNING")
+    return out.select("tier", "surface", "numerator", "denominator", "percent", "expected", (~off).alias("reproduced"), finding.alias("finding"), severity.alias("severity"))
 
 
 def ground_truth(counted: Column, expected: Column) -> Column:
