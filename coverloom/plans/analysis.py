@@ -337,7 +337,7 @@ ORACLE_SQL = {
     "name_collisions": "SELECT lower(concat(p_name, p_type)) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
     "denominator_effect": "WITH c AS (" + COVERED.format(part="part") + """), s AS (SELECT surface, CAST(floor(100.0 * count(*) FILTER (covered) / count(*) + 0.5) AS BIGINT) AS pooled,
         CAST(floor(100.0 * count(*) FILTER (covered AND tier = 'primary') / count(*) FILTER (tier = 'primary') + 0.5) AS BIGINT) AS primary, CAST(floor(100.0 * count(*) FILTER (covered AND tier = 'modifier') / count(*) FILTER (tier = 'modifier') + 0.5) AS BIGINT) AS modifier FROM c GROUP BY surface)
-        SELECT *, pooled <= 15 AND primary >= 30 AND primary - pooled >= 15 AS effect FROM s""",
+        SELECT *, pooled <= 15 AND "primary" >= 30 AND "primary" - pooled >= 15 AS effect FROM s""",
     "metric_checks": "WITH c AS (" + COVERED.format(part="part") + "), r AS (" + REPORTED + """), m AS (SELECT tier, surface, count(*) FILTER (covered) AS numerator, count(*) AS denominator FROM c GROUP BY ALL),
         e AS (SELECT m.*, percent, CAST(floor(100.0 * numerator / denominator + 0.5) AS BIGINT) AS expected FROM m JOIN r USING (tier, surface))
         SELECT *, abs(expected - percent) <= 1 AS reproduced, CASE WHEN abs(expected - percent) > 1 THEN 'reconcile' WHEN percent = 0 THEN 'zero_surface' WHEN percent <= 15 THEN 'low_coverage' END AS finding,
@@ -346,8 +346,8 @@ ORACLE_SQL = {
         SELECT CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 4 END AS INT) AS rung, CASE k WHEN 0 THEN 'workflow-cli-grammar' WHEN 1 THEN 'workflow-yaml-grammar' ELSE 'workflow-prose' END AS entry, CAST(sum(n) AS BIGINT) AS rows,
             CASE WHEN k < 2 THEN (SELECT event_type FROM w v WHERE v.k = w.k ORDER BY n DESC, event_type LIMIT 1) END AS dominant FROM w GROUP BY k
         UNION ALL SELECT 1, CASE p_size % 4 WHEN 0 THEN 'schema:proto' ELSE 'schema:cml' END, count(*), NULL FROM part WHERE p_size % 4 < 2 GROUP BY p_size % 4""",
-    "surviving_workflows": """WITH f AS (SELECT l_orderkey, l_suppkey % 4 AS e, min(l_linenumber) AS at FROM lineitem GROUP BY ALL)
-        SELECT l_orderkey AS workflow, string_agg(CAST(e AS STRING), '>' ORDER BY at, CAST(e AS STRING)) AS refs FROM f GROUP BY l_orderkey HAVING count(*) >= 2""",
+    "surviving_workflows": """WITH f AS (SELECT l_orderkey, l_suppkey % 4 AS e, min(l_linenumber) AS place FROM lineitem GROUP BY ALL)
+        SELECT l_orderkey AS workflow, string_agg(CAST(e AS STRING), '>' ORDER BY place, CAST(e AS STRING)) AS refs FROM f GROUP BY l_orderkey HAVING count(*) >= 2""",
     "ground_truth": "SELECT o_custkey, CASE WHEN m % 14 <= greatest(1, (n + m % 14) // 100) THEN 'clean' WHEN m % 14 > greatest(5, (n + m % 14) // 10) THEN 'error' ELSE 'warning' END AS verdict FROM (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY o_custkey)",
     "precision_ledger": "SELECT source, count(*) FILTER (quality = 1) AS tp, count(*) FILTER (quality = 0) AS fp, count(*) FILTER (quality IS NULL) AS unverified, round(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 6) AS precision FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "recount": "SELECT event_type AS surface, count(DISTINCT user_id) AS counted, count(*) AS reported FROM events GROUP BY event_type HAVING count(DISTINCT user_id) <> count(*)",
@@ -356,84 +356,6 @@ ORACLE_SQL = {
     "citation_gate": _LINES + """, cited AS (SELECT concat(CAST(doc_id AS STRING), '#', lang) AS citation, doc_id, doc_id % 4 AS here, unnest([CASE lang WHEN 'en' THEN 'the' WHEN 'fr' THEN 'le' ELSE 'de' END, 'of', 'la']) AS name, unnest([1, 2, 3]) AS which FROM documents),
         met AS (SELECT citation, line, abs(line - here) AS distance, which FROM cited c JOIN lines l ON l.doc_id = c.doc_id AND abs(line - here) <= 1 WHERE regexp_matches(text, concat('(^|[^A-Za-z0-9_])', name, '([^A-Za-z0-9_]|$)')))
         SELECT citation, CAST(line AS INT) AS line, CAST(distance AS INT) AS distance, which > 1 AS by_alias FROM (SELECT *, row_number() OVER (PARTITION BY citation ORDER BY distance, line, which) AS k FROM met) WHERE k = 1""",
-    "heading_stack": q_headings,
-    "enclosing_tests": q_enclosing,
-    "rail_ranks": q_rails,
-    "mention_windows": q_mentions,
-    "grounding_rollup": q_grounding,
-    "grounding_severity": q_severity,
-    "hardening": q_hardening,
-    "local_names": q_local_names,
-    "implementors": q_implementors,
-    "facade_edges": q_facades,
-    "event_properties": q_events,
-    "missed_tests": q_misses,
-}
-
-_DELTA = """WITH {0} full_ AS (SELECT coalesce(h.element_id, b.element_id) AS element_id, CASE WHEN b.element_id IS NULL THEN 'added' WHEN h.element_id IS NULL THEN 'removed' WHEN b.tests <> h.tests OR b.docs <> h.docs THEN 'changed' END AS change,
-    coalesce(b.tests, 0) AS base_tests, coalesce(h.tests, 0) AS head_tests, coalesce(b.docs, 0) AS base_docs, coalesce(h.docs, 0) AS head_docs FROM base b FULL OUTER JOIN head h ON b.element_id = h.element_id), delta AS (SELECT * FROM full_ WHERE change IS NOT NULL) """
-_SIDES = ", ".join(f"{n} AS (SELECT concat('e', CAST(o_custkey % 400 AS STRING)) AS element_id, count(*) AS tests, count(*) FILTER (o_orderstatus = 'F') AS docs FROM orders WHERE year(o_orderdate) % 3 <> {k} AND o_custkey % 400 % 5 <> {k} GROUP BY 1)" for n, k in (("base", 0), ("head", 1)))
-_DELTAS = _DELTA.format(_SIDES + ",")
-_STEM = "CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%s' THEN CASE WHEN w NOT LIKE '%ss' AND length(w) >= 4 AND left(w, length(w) - 1) NOT IN ('tions', 'ment') THEN concat(left(w, length(w) - 1), ',', w) ELSE w END WHEN concat(w, 's') NOT IN ('tions', 'ment') THEN concat(w, ',', w, 's') ELSE w END"
-_LINKS = "links AS (SELECT l_partkey AS element_id, concat(CASE WHEN l_suppkey % 13 = 0 THEN 'third_party/x' WHEN l_suppkey % 17 = 0 THEN 'a/vendor/b' ELSE 'src' END, '/f', CAST(l_suppkey % 2 + l_partkey % 3 * l_linenumber AS STRING)) AS path FROM lineitem)"
-_LINES = "WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
-_COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
-
-ORACLE_SQL = {
-    "camel_tokens": f"SELECT p_partkey, array_to_string({_SPLIT}, ',') AS tokens, array_to_string(list_filter(string_split(lower(regexp_replace(s, '([a-z])([A-Z])', '\\1 \\2', 'g')), ' '), lambda x: x <> ''), ',') AS simple FROM ({FROM_CAMEL})",
-    "stem_forms": f"SELECT w, {_STEM} AS stems FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[ _\\-./,:!?]+'), lambda x: x <> '')) AS w FROM documents)",
-    "element_names": with_relations("elements") + """SELECT id, library, split_part(id, '.', 2) AS method, type AS protocol, split_part(id, '.', 2) AS last, regexp_replace(regexp_replace(lower(owner), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-        concat(regexp_replace(regexp_replace(lower(owner), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), '-', left(sha256(owner), 8)) AS slug_hash, regexp_replace(lower(owner), '[^a-z0-9]', '', 'g') AS alnum, concat('https://example.org/', path, '#L', CAST(line AS STRING)) AS url FROM elements""",
-    "path_parts": with_relations("raw_tests") + """SELECT DISTINCT path, replace(replace(replace(path, '.go', ''), '/', ','), '_', ',') AS tokens, regexp_extract(path, '(s[0-9]+)_test', 1) AS base, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dirs,
-        (path LIKE 'tests/%' OR regexp_matches(path, '^qa/[^/]*/F/[^/]*\\.go$')) AND NOT regexp_matches(path, '/s1[0-9]_test\\.go$') AS included, TRUE AS clean FROM raw_tests""",
-    "substance": f"""SELECT doc_id, words, CASE WHEN w = 0 THEN 'ABSENT' WHEN w <= 4 THEN 'SIGNATURE_ONLY' WHEN w <= 19 THEN 'PARTIAL' ELSE 'SUBSTANTIVE' END AS prose, CASE WHEN w = 0 THEN 'ABSENT' WHEN w <= 1 THEN 'SIGNATURE_ONLY' WHEN w <= 7 THEN 'PARTIAL' ELSE 'SUBSTANTIVE' END AS cli
-        FROM (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, words % {FOLD} AS w FROM documents)""",
-    "removed_levels": with_relations("elements") + "SELECT id, removed NOT IN ('', 'NEXT') AS at_head, removed = 'NEXT' AS at_next, coalesce(try_cast(removed AS INT) <= 20, FALSE) AS at_20 FROM elements",
-    "lag_summary": with_relations("git_times") + """, lags AS (SELECT library, id, max(greatest(code_ts - doc_ts, 0) // 86400) AS days FROM git_times GROUP BY library, id)
-        SELECT library, count(*) FILTER (days <= 0) AS fresh, count(*) FILTER (days > 0 AND days <= 30) AS recent, count(*) FILTER (days > 30 AND days <= 180) AS aging, count(*) FILTER (days > 180) AS stale, count(*) FILTER (days IS NULL) AS unknown,
-        CAST(floor(quantile_cont(days, 0.5) + 0.5) AS BIGINT) AS p50, CAST(floor(quantile_cont(days, 0.9) + 0.5) AS BIGINT) AS p90 FROM lags GROUP BY library""",
-    "workflow_sizes": "SELECT CASE WHEN n >= 6 THEN '6+' ELSE CAST(n AS STRING) END AS size, count(*) AS workflows, CAST(sum(n) AS BIGINT) AS elements FROM (SELECT conv_id, count(DISTINCT turn * 7 + length(text) % 5) AS n FROM conversations GROUP BY conv_id) GROUP BY 1",
-    "concept_verdicts": """WITH m AS (SELECT l_orderkey AS doc, l_linenumber AS line, l_returnflag AS token, l_partkey AS e FROM lineitem), d AS (SELECT doc, line, token, count(DISTINCT e) AS degree FROM m GROUP BY ALL), least_ AS (SELECT e, min(degree) AS degree FROM m JOIN d USING (doc, line, token) GROUP BY e)
-        SELECT CASE WHEN degree IS NULL THEN 'silent' WHEN degree = 1 THEN 'clear' ELSE 'ambiguous' END AS verdict, p_type AS region, count(*) AS n FROM part LEFT JOIN least_ ON e = p_partkey GROUP BY ALL""",
-    "coverage_delta": _DELTAS + "SELECT * FROM delta",
-    "delta_summary": _DELTAS + "SELECT change, count(*) AS n, CAST(sum(head_tests - base_tests) AS BIGINT) AS tests_gained, CAST(sum(head_docs - base_docs) AS BIGINT) AS docs_gained FROM delta GROUP BY change",
-    "removed_elements": _DELTAS + "SELECT element_id FROM delta WHERE change = 'removed'",
-    "routed_owners": """WITH owners AS (SELECT r_name AS category, CASE WHEN n_nationkey % 3 = 0 THEN concat('lib', CAST(n_nationkey AS STRING)) END AS scope, n_name AS owner, n_nationkey % 2 = 0 AS subscribe FROM nation JOIN region ON n_regionkey = r_regionkey),
-        affected AS (SELECT DISTINCT r_name AS category, concat('lib', CAST(s_suppkey % 9 AS STRING)) AS library FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-        met AS (SELECT DISTINCT a.category, owner, subscribe FROM affected a JOIN owners o ON a.category = o.category AND (o.scope IS NULL OR o.scope = a.library))
-        SELECT category, coalesce(string_agg(owner, ',' ORDER BY owner) FILTER (NOT subscribe), '') AS owners, coalesce(string_agg(owner, ',' ORDER BY owner) FILTER (subscribe), '') AS subscribers FROM met GROUP BY category""",
-    "affected_findings": _DELTAS + "SELECT event_type AS kind, count(*) AS n FROM events WHERE concat('e', CAST(user_id % 500 AS STRING)) IN (SELECT element_id FROM delta) GROUP BY event_type",
-    "token_search": "SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[ _\\-./,:!?]+'), lambda x: x IN ('the', 'this', 'that', 'with', 'tion', 'of', 'and', 'ment'))) AS INT) AS score FROM documents ORDER BY score DESC, id LIMIT 10",
-    "vector_search": f"SELECT vec_id AS id, round({_COSINE}, 5) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 10",
-    "verify_invocation": with_relations("elements") + ", asked AS (" + ASKED.format(part="part") + """), q AS (SELECT invocation, list_filter(regexp_split_to_array(lower(invocation), '[ _\\-./,:!?]+'), lambda x: x <> '') AS w FROM asked),
-        t AS (SELECT id, unnest(regexp_split_to_array(lower(id), '[ _\\-./,:!?]+')) AS token FROM elements),
-        scored AS (SELECT invocation, id, count(*) AS score FROM (SELECT DISTINCT invocation, unnest(w) AS token FROM q) JOIN t USING (token) GROUP BY ALL),
-        best AS (SELECT invocation, id, score FROM (SELECT *, row_number() OVER (PARTITION BY invocation ORDER BY score DESC, id) AS k FROM scored) WHERE k = 1)
-        SELECT q.invocation, e.id IS NOT NULL AS matched, coalesce(e.id, best.id) AS element_id, CASE WHEN e.id IS NOT NULL THEN 1.0 ELSE score / len(w) END AS confidence FROM q LEFT JOIN elements e ON e.id = q.invocation LEFT JOIN best ON best.invocation = q.invocation""",
-    "smearing": f"WITH {_LINKS} SELECT element_id, count(*) AS refs, count(DISTINCT path) AS files FROM links GROUP BY element_id HAVING count(*) >= 8 AND count(DISTINCT path) <= 2",
-    "contamination": f"WITH {_LINKS} SELECT regexp_extract(path, '(third_party|vendor)', 1) AS segment, count(*) AS refs FROM links WHERE path LIKE '%third_party%' OR path LIKE '%vendor%' GROUP BY 1",
-    "name_collisions": "SELECT lower(concat(p_name, p_type)) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
-    "denominator_effect": "WITH c AS (" + COVERED.format(part="part") + """), s AS (SELECT surface, CAST(floor(100.0 * count(*) FILTER (covered) / count(*) + 0.5) AS BIGINT) AS pooled,
-        CAST(floor(100.0 * count(*) FILTER (covered AND tier = 'primary') / count(*) FILTER (tier = 'primary') + 0.5) AS BIGINT) AS primary, CAST(floor(100.0 * count(*) FILTER (covered AND tier = 'modifier') / count(*) FILTER (tier = 'modifier') + 0.5) AS BIGINT) AS modifier FROM c GROUP BY surface)
-        SELECT *, pooled <= 15 AND primary >= 30 AND primary - pooled >= 15 AS effect FROM s""",
-    "metric_checks": "WITH c AS (" + COVERED.format(part="part") + "), r AS (" + REPORTED + """), m AS (SELECT tier, surface, count(*) FILTER (covered) AS numerator, count(*) AS denominator FROM c GROUP BY ALL),
-        e AS (SELECT m.*, percent, CAST(floor(100.0 * numerator / denominator + 0.5) AS BIGINT) AS expected FROM m JOIN r USING (tier, surface))
-        SELECT *, abs(expected - percent) <= 1 AS reproduced, CASE WHEN abs(expected - percent) > 1 THEN 'reconcile' WHEN percent = 0 THEN 'zero_surface' WHEN percent <= 15 THEN 'low_coverage' END AS finding,
-        CASE WHEN abs(expected - percent) > 1 THEN 'ERROR' WHEN percent <= 15 THEN 'WARNING' END AS severity FROM e""",
-    "hardening_backlog": """WITH w AS (SELECT user_id % 3 AS k, event_type, count(*) AS n FROM events GROUP BY ALL)
-        SELECT CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 4 END AS INT) AS rung, CASE k WHEN 0 THEN 'workflow-cli-grammar' WHEN 1 THEN 'workflow-yaml-grammar' ELSE 'workflow-prose' END AS entry, CAST(sum(n) AS BIGINT) AS rows,
-            CASE WHEN k < 2 THEN (SELECT event_type FROM w v WHERE v.k = w.k ORDER BY n DESC, event_type LIMIT 1) END AS dominant FROM w GROUP BY k
-        UNION ALL SELECT 1, CASE p_size % 4 WHEN 0 THEN 'schema:proto' ELSE 'schema:cml' END, count(*), NULL FROM part WHERE p_size % 4 < 2 GROUP BY p_size % 4""",
-    "surviving_workflows": """WITH f AS (SELECT l_orderkey, l_suppkey % 4 AS e, min(l_linenumber) AS at FROM lineitem GROUP BY ALL)
-        SELECT l_orderkey AS workflow, string_agg(CAST(e AS STRING), '>' ORDER BY at, CAST(e AS STRING)) AS refs FROM f GROUP BY l_orderkey HAVING count(*) >= 2""",
-    "ground_truth": "SELECT o_custkey, CASE WHEN m % 14 <= greatest(1, (n + m % 14) // 100) THEN 'clean' WHEN m % 14 > greatest(5, (n + m % 14) // 10) THEN 'error' ELSE 'warning' END AS verdict FROM (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY o_custkey)",
-    "precision_ledger": "SELECT source, count(*) FILTER (quality = 1) AS tp, count(*) FILTER (quality = 0) AS fp, count(*) FILTER (quality IS NULL) AS unverified, round(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 6) AS precision FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
-    "recount": "SELECT event_type AS surface, count(DISTINCT user_id) AS counted, count(*) AS reported FROM events GROUP BY event_type HAVING count(DISTINCT user_id) <> count(*)",
-    "verification_verdict": "SELECT CASE WHEN e > 0 THEN 'broken' WHEN w > 0 THEN 'review' ELSE 'trustworthy' END AS verdict, e AS errors, w AS warnings FROM (SELECT count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type <> 'error' AND value > 50) AS w FROM events)",
-    "capped_sample": with_relations("raw_tests") + ", " + SQL_TESTS + "SELECT path, test_id FROM (SELECT path, test_id, row_number() OVER (PARTITION BY path ORDER BY test_id) AS k FROM tests) WHERE k <= 3",
-    "citation_gate": _LINES + """, cited AS (SELECT concat(CAST(doc_id AS STRING), '#', lang) AS citation, doc_id, doc_id % 4 AS here, CASE lang WHEN 'en' THEN 'the' WHEN 'fr' THEN 'le' ELSE 'de' END AS name FROM documents),
-        met AS (SELECT citation, line, abs(line - here) AS distance FROM cited c JOIN lines l ON l.doc_id = c.doc_id AND abs(line - here) <= 1 WHERE regexp_matches(text, concat('(^|[^A-Za-z0-9_])', name, '([^A-Za-z0-9_]|$)')))
-        SELECT citation, CAST(line AS INT) AS line, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY citation ORDER BY distance, line) AS k FROM met) WHERE k = 1""",
     "heading_stack": """WITH r AS (SELECT o_custkey % 97 AS doc, o_orderkey AS offset_, CASE WHEN o_orderkey % 5 < 4 THEN least(o_orderkey % 5 + 1, 3) END AS slot, o_orderstatus AS title FROM orders),
         o AS (SELECT doc, offset_, max(CASE WHEN slot = 1 THEN offset_ END) OVER w AS o1, max(CASE WHEN slot = 2 THEN offset_ END) OVER w AS o2, max(CASE WHEN slot = 3 THEN offset_ END) OVER w AS o3 FROM r WINDOW w AS (PARTITION BY doc ORDER BY offset_ ROWS UNBOUNDED PRECEDING))
         SELECT o.doc, offset_ AS "offset", concat_ws('/', a.o_orderstatus, CASE WHEN o2 > coalesce(o1, -1) THEN b.o_orderstatus END, CASE WHEN o3 > greatest(coalesce(o1, -1), coalesce(o2, -1)) THEN c.o_orderstatus END) AS section
