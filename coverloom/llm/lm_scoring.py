@@ -36,6 +36,7 @@ from ._text import Block, blocks, mix, per_doc, ranges, sums
 STATES = 2048
 HEAD = 1 << 18
 BUCKET_TOKENS = 1 << 21
+BUCKET_TASKS = 100_000
 BATCH_BYTES = 8 << 20
 SPLIT = 1 << 16
 DISCOUNT = 0.5
@@ -158,6 +159,27 @@ _BUCKETS = "bucket long, keys binary, held binary, h binary, n binary, x binary,
 _MET = "key long, h long, n long, v double"
 
 
+def _bucket_by_bucket(run: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies `run` to the rows of one bucket after the other; batches come sorted by bucket."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+            for low, high in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                if held and held[-1].column(0)[0].as_py() != bucket[low]:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return all_of
+
+
 def _pairs_met(counts: np.ndarray, machine: BackoffAutomaton, large: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     """Of one bucket: (key, -, -, v) scores of documents, (key, h, n, -) pairs without an arc, (-, h, n, v) kinds and mass of histories."""
 
@@ -306,7 +328,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         in_training = F.when(F.col("held_out"), 0).otherwise(F.col("tf"))
         rare = table(rare.withColumn("k", F.sum(in_training).over(Window.partitionBy("word", "h"))).select("key", "held_out", "tf", "h", "c", "k"), "rare-pairs")
         dealt = arrow_map(folded.select("key", "text", "held_out"), deal, _BUCKETS, BATCH_BYTES)
-        met = table(dealt.groupBy("bucket").applyInArrow(_pairs_met(known_counts, machine, large_ones), _MET), "pair-parts")
+        # each bucket has a task of its own, so that what a task reads doesn't grow with the input
+        dealt = dealt.repartitionById(min(n_buckets, BUCKET_TASKS), (F.col("bucket") % min(n_buckets, BUCKET_TASKS)).cast("int")).sortWithinPartitions("bucket")
+        met = table(arrow_map(dealt, _bucket_by_bucket(_pairs_met(known_counts, machine, large_ones)), _MET, BATCH_BYTES), "pair-parts")
         own_total = F.when(F.col("c") > 0, -F.log10("c")).otherwise(0.0)
         arc = F.when(F.col("k") > 0, F.log10(F.col("k") - DISCOUNT)).otherwise(F.log10(share_of))
         part = in_training / F.col("k")  # the training rows of a pair add up to one kind
