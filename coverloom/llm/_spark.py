@@ -41,11 +41,22 @@ def tables_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/coverloom-{spark.sparkContext.applicationId}"
 
 
-def table(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: what follows restarts from there if an executor is lost."""
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, label: str, release: bool = False, **options: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: what follows restarts from there if an executor is lost.
+
+    With `release`, the shuffles of the write go as soon as the table stands; df must not be computed again.
+    """
     spark = df.sparkSession
     path = f"{tables_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, str(release or before == "true").lower())
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._coverloom_path = path
     return out

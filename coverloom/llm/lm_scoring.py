@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = cached if whole else states
     folded = folds(docs, id_col, text_col)
     n_docs = folded.where(~F.col("held_out")).count()
-    words = table(word_counts(folded), "words")
+    words = table(word_counts(folded), "words", release=True)
     totals = words.agg(F.sum("c").alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds")).first()
     train_tokens, kinds = (totals["tokens"] or 0) + n_docs, totals["kinds"] + (n_docs > 0)
     norm = float(np.log10(train_tokens + kinds + 1))
@@ -326,11 +326,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known, base = F.when(F.col("c") > 0, F.col("tf")).otherwise(0), F.col("tf") * (F.log10(F.col("c") + 1) - norm)
     if whole:
         in_training = F.when(F.col("held_out"), 0).otherwise(F.col("tf"))
-        rare = table(rare.withColumn("k", F.sum(in_training).over(Window.partitionBy("word", "h"))).select("key", "held_out", "tf", "h", "c", "k"), "rare-pairs")
+        rare = table(rare.withColumn("k", F.sum(in_training).over(Window.partitionBy("word", "h"))).select("key", "held_out", "tf", "h", "c", "k"), "rare-pairs", release=True)
         dealt = arrow_map(folded.select("key", "text", "held_out"), deal, _BUCKETS, BATCH_BYTES)
         # each bucket has a task of its own, so that what a task reads doesn't grow with the input
         dealt = dealt.repartitionById(min(n_buckets, BUCKET_TASKS), (F.col("bucket") % min(n_buckets, BUCKET_TASKS)).cast("int")).sortWithinPartitions("bucket")
-        met = table(arrow_map(dealt, _bucket_by_bucket(_pairs_met(known_counts, machine, large_ones)), _MET, BATCH_BYTES), "pair-parts")
+        met = table(arrow_map(dealt, _bucket_by_bucket(_pairs_met(known_counts, machine, large_ones)), _MET, BATCH_BYTES), "pair-parts", release=True)
         own_total = F.when(F.col("c") > 0, -F.log10("c")).otherwise(0.0)
         arc = F.when(F.col("k") > 0, F.log10(F.col("k") - DISCOUNT)).otherwise(F.log10(share_of))
         part = in_training / F.col("k")  # the training rows of a pair add up to one kind
