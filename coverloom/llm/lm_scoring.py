@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import arrow_map, table
+from ._spark import HEAVY, arrow_map, table
 from ._text import Block, blocks, mix, per_doc, ranges, sums
 
 STATES = 2048
@@ -218,6 +218,13 @@ def _pairs_met(counts: np.ndarray, machine: BackoffAutomaton, large: np.ndarray)
     return run
 
 
+def _weighed(missed: DataFrame, histories: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Pairs without an arc with their history's kinds and mass. Frequent histories, fewer than HEAVY + 1, are broadcast, so that none fills a task."""
+    few = F.broadcast(missed.sparkSession.createDataFrame(pa.table({"few": frequent})))
+    met = missed.join(F.broadcast(histories.join(few, F.col("of") == F.col("few"), "left_semi")), F.col("h") == F.col("of"))
+    return met.unionByName(missed.join(few, F.col("h") == F.col("few"), "left_anti").join(histories, F.col("h") == F.col("of")))
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, states: int | None = None, cached: int = STATES, bucket_tokens: int = BUCKET_TOKENS, split: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark, whole = docs.sparkSession, states is None
@@ -238,7 +245,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_buckets = -(-train_tokens // bucket_tokens) + 1
     end = len(hashes)  # the successor code of a text's end; its beginning is the history 0
     known_counts = np.append(counts, n_docs).astype(np.int64)
-    large_ones = np.append(hashes, np.uint64(0)).astype(np.uint64).view(np.int64)[known_counts > split]
+    own_hashes = np.append(hashes, np.uint64(0)).astype(np.uint64).view(np.int64)
+    large_ones, frequent = own_hashes[known_counts > split], own_hashes[known_counts > train_tokens // HEAVY]
 
     def looked_up(block: Block) -> tuple:
         unique, first, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
@@ -339,7 +347,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         histories = histories.unionByName(rare.where((F.col("k") > 0) & ~F.col("held_out")).select("h", part.alias("n"), (part * share_of).alias("v")))
         histories = histories.unionByName(spark.createDataFrame(cache)).groupBy(F.col("h").alias("of")).agg(F.round(F.sum("n")).alias("kinds"), F.sum("v").alias("mass"))
         missed = met.where(F.col("key").isNotNull() & F.col("h").isNotNull()).select("key", "h", "n").unionByName(rare.where(F.col("k") == 0).select("key", "h", F.col("tf").alias("n")))
-        missed = missed.join(histories.where("kinds > 0"), F.col("h") == F.col("of"))
+        missed = _weighed(missed, table(histories.where("kinds > 0"), "histories", release=True), frequent)
         out = local.unionByName(added(rare, F.col("tf") * (own_total + arc), known, base))
         out = out.unionByName(added(met.where(F.col("h").isNull()), F.col("v")))
         out = out.unionByName(added(missed, F.col("n") * F.log10(F.lit(DISCOUNT) * F.col("kinds") / (F.lit(1.0) - F.col("mass")))))
