@@ -143,7 +143,7 @@ def q_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.hardening_backlog(detected, events.select(kind.alias("transform"), text.alias("text")))
 
 
-def q_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_surviving(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS workflow", "l_linenumber AS position", "CAST(l_suppkey % 4 AS STRING) AS element_id")
     return merge.surviving_workflows(steps).select("workflow", F.array_join("refs", ">").alias("refs"))
 
@@ -271,7 +271,7 @@ QUERIES = {
     "denominator_effect": q_denominator,
     "metric_checks": q_metrics,
     "hardening_backlog": q_backlog,
-    "surviving_workflows": q_workflows,
+    "surviving_workflows": q_surviving,
     "ground_truth": q_ground_truth,
     "precision_ledger": q_precision,
     "recount": q_recount,
