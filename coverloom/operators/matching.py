@@ -18,6 +18,11 @@ def admits(kind: Column, strategy: str) -> Column:
     return F.coalesce(kind.isin(*NAME_TOKEN_KINDS), F.lit(False)) if strategy == "name_tokens" else F.lit(False)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Joins with these rows go through a shuffle: Spark takes derived rows for as small as the compressed file below them."""
+    return rows.hint("merge")
+
+
 def exact(refs: DataFrame, elements: DataFrame) -> DataFrame:
     """(owner, element_id) where a reference is an element's id. refs has (owner, ref)."""
     return refs.join(elements.select(F.col("id").alias("element_id")), F.col("ref") == F.col("element_id")).select("owner", "element_id")
@@ -113,33 +118,35 @@ def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None
     """(test_id, element_id) of subcommands that a test's name and path tokens name.
 
     tests has (test_id, path, name_tokens). An element of several tokens may also be named by all of them
-    written together.
+    written together. Tests of one path and the same name tokens are judged once, as one case.
     """
-    t = tests.select("test_id", "path", F.transform("name_tokens", F.lower).alias("names"), F.transform(T.path_tokens(F.col("path")), F.lower).alias("paths"))
+    case = F.unhex(F.sha2(F.to_json(F.struct("path", "name_tokens")), 256)).alias("case")
+    cases = tests.select("path", "name_tokens").distinct()
+    t = cases.select(case, "path", F.transform("name_tokens", F.lower).alias("names"), F.transform(T.path_tokens(F.col("path")), F.lower).alias("paths"))
     if blocked is None:
         t = t.withColumn("tokens", F.array_union(T.stems(F.col("names")), T.stems(F.col("paths"))))
     else:
         # stems first, then forms that the block list names and the test itself doesn't have go
         plain = t.withColumn("own", F.array_union("names", "paths")).withColumn("tokens", F.array_union(T.stems(F.col("names")), T.stems(F.col("paths"))))
-        listed = plain.select("test_id", "own", F.explode("tokens").alias("token"))
+        listed = plain.select("case", "own", F.explode("tokens").alias("token"))
         bridged = ~F.array_contains("own", F.col("token"))
-        kept = listed.join(blocked.select(F.col("token").alias("stop")), (F.col("token") == F.col("stop")) & bridged, "left_anti")
-        t = t.join(kept.groupBy("test_id").agg(F.collect_set("token").alias("tokens")), "test_id")
+        kept = listed.join(shuffled(blocked.select(F.col("token").alias("stop"))), (F.col("token") == F.col("stop")) & bridged, "left_anti")
+        t = t.join(shuffled(kept.groupBy("case").agg(F.collect_set("token").alias("tokens"))), "case")
     wide = elements.where(admits(F.col("kind"), "name_tokens") & (F.instr("id", " ") > 0))
     depth = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     forms = wide.select("id", F.lower("library").alias("lib"), F.explode(F.array_union(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where(depth(F.col("form")) >= depth(F.col("id")))
     forms = forms.withColumn("required", F.filter(T.id_tokens(F.col("form")), lambda x: x != F.col("lib"))).where(F.size("required") > 0)
     # each form starts from its rarest token, so a frequent one never pairs everything; the others are looked up in the test
-    owned = t.select("test_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    owned = t.select("case", F.explode(F.array_distinct("tokens")).alias("token"))
     spread = owned.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    keys = forms.select("id", "form", "required", F.explode(F.array_distinct("required")).alias("key")).join(spread, F.col("key") == F.col("token"), "left")
+    keys = forms.select("id", "form", "required", F.explode(F.array_distinct("required")).alias("key")).join(shuffled(spread), F.col("key") == F.col("token"), "left")
     start = keys.groupBy("id", "form").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("least"), F.first("required").alias("needed")).where("least.n > 0")
-    met = owned.join(start, F.col("token") == F.col("least.key")).select("test_id", "id", "form", "needed")
-    whole = met.join(t.select("test_id", "tokens"), "test_id").where(F.size(F.array_except("needed", "tokens")) == 0)
-    full = whole.select("test_id", "id", "form")
+    met = owned.join(shuffled(start), F.col("token") == F.col("least.key")).select("case", "id", "form", "needed")
+    whole = met.join(shuffled(t.select("case", "tokens")), "case").where(F.size(F.array_except("needed", "tokens")) == 0)
+    full = whole.select("case", "id", "form")
     merged = forms.where(F.size("required") >= 2).select("id", "form", F.array_join("required", "").alias("key"))
-    joined = owned.join(merged, F.col("token") == F.col("key")).select("test_id", "id", "form")
-    pairs = full.unionByName(joined).distinct().join(t.select("test_id", "path", "paths"), "test_id").join(forms, ["id", "form"])
+    joined = owned.join(shuffled(merged), F.col("token") == F.col("key")).select("case", "id", "form")
+    pairs = full.unionByName(joined).distinct().join(shuffled(t.select("case", "path", "paths")), "case").join(shuffled(forms), ["id", "form"])
 
     segment = F.substring_index(F.regexp_replace("form", r" (--|-|<).*$", ""), " ", -1)
     rows = pairs.withColumn("segment", T.id_tokens(segment)).withColumn("own", F.filter("segment", lambda x: x != F.col("lib")))
@@ -154,7 +161,8 @@ def cli_matches(tests: DataFrame, elements: DataFrame, blocked: DataFrame | None
     wanted = T.alnum_lower(F.array_join("required", ""))
     tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chain), F.lit(1))), lambda i: F.array_join(F.slice(chain, i, F.greatest(F.size(chain), F.lit(1))), ""))
     by_dirs = generic & (wanted != "") & F.array_contains(tails, wanted)
-    return rows.where(F.when(only_library, library_rule).otherwise(same_name | one_word | by_dirs)).select("test_id", F.col("id").alias("element_id")).distinct()
+    named = rows.where(F.when(only_library, library_rule).otherwise(same_name | one_word | by_dirs)).select("case", F.col("id").alias("element_id")).distinct()
+    return tests.select("test_id", case).distinct().join(shuffled(named), "case").select("test_id", "element_id").distinct()
 
 
 def lowered_fields(s: Column) -> Column:

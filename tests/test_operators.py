@@ -68,6 +68,19 @@ def test_command_names(spark, element, path, names, hit):
     assert (matching.cli_matches(tests, els).count() == 1) is hit
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_command_names_judge_a_case_once_without_broadcasts(spark):
+    # rows whose size Spark knows, and takes for small
+    els = spark.sql("SELECT 'ffx component show' AS id, 'SUBCOMMAND' AS kind, 'ffx' AS library, CAST(array() AS array<string>) AS aliases")
+    tests = spark.sql("SELECT *, array('show') AS name_tokens FROM VALUES ('a', 'src/component/show/src/lib.rs'), ('b', 'src/component/show/src/lib.rs'), ('c', 'src/component/list/src/lib.rs') AS t(test_id, path)")
+    got = matching.cli_matches(tests, els)
+    assert "Broadcast" not in _plan(got)
+    assert sorted(r.test_id for r in got.collect()) == ["a", "b"]
+
+
 def test_sections_and_categories(spark):
     rules = [{"dotted_path": "docs.tutorial", "paths": ["a/**"], "section_excludes": ["options"]}, {"dotted_path": "docs.concepts", "paths": ["a/b/**"]}]
     rows = spark.createDataFrame([("a/x.md", ["Options"]), ("a/b/x.md", ["Options"]), ("a/x.md", []), ("z", [])], "p string, s array<string>")
