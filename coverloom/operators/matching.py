@@ -64,7 +64,7 @@ def test_keys(elements: DataFrame) -> DataFrame:
 
 def matched(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows with each element that their `ref` names; one join for all ways of naming."""
-    return rows.join(keys, F.col("ref") == F.col("key")).drop("key")
+    return rows.join(shuffled(keys), F.col("ref") == F.col("key")).drop("key")
 
 
 def by_suffix(refs: DataFrame, elements: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
+from .matching import shuffled
 
 #: Surfaces that elements of a kind can have; reference is never counted by row. Fixed values.
 KIND_SURFACES: dict[str, tuple[str, ...]] = {
@@ -158,17 +159,17 @@ def lag_pairs(elements: DataFrame, refs: DataFrame, times: DataFrame, tracked: D
     file and stands in for lines without a time. tracked (path) limits times to files under version control.
     """
     known = times.where("ts > 0")
-    known = known if tracked is None else known.join(tracked.select("path").distinct(), "path", "left_semi")
+    known = known if tracked is None else known.join(shuffled(tracked.select("path").distinct()), "path", "left_semi")
     by_line = known.where("line > 0").groupBy("path", "line").agg(F.max("ts").alias("line_ts"))
     by_file = known.where("line = 0").groupBy("path").agg(F.max("ts").alias("file_ts"))
 
     def timed(rows: DataFrame, name: str) -> DataFrame:
-        out = rows.join(by_line, ["path", "line"], "left").join(by_file, "path", "left")
+        out = rows.join(shuffled(by_line), ["path", "line"], "left").join(shuffled(by_file), "path", "left")
         return out.withColumn(name, F.coalesce("line_ts", "file_ts")).drop("line_ts", "file_ts")
 
     code = timed(elements.select(F.col("id").alias("element_id"), "path", "line").where("path <> ''"), "code_ts")
     code = code.select("element_id", F.col("path").alias("code_path"), "code_ts")
-    pairs = timed(refs.select("element_id", "path", "line"), "doc_ts").join(code, "element_id")
+    pairs = timed(refs.select("element_id", "path", "line"), "doc_ts").join(shuffled(code), "element_id")
     inline = F.col("path") == F.col("code_path")
     days = F.when(~inline, lag_days(F.coalesce("code_ts", F.lit(0)), F.coalesce("doc_ts", F.lit(0))))
     return pairs.select("element_id", "path", "line", inline.alias("inline"), days.alias("days"))

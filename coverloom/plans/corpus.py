@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.matching import shuffled
 from ..session import reachable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -91,7 +92,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     named: dict[str, DataFrame] = {}
     for n in (*_NEEDS.get(name, ()), name):
         sql = relation_sql(n, "spark")
-        used = {t: load(spark, sf_dir, t) for t in TABLES if t in sql} | {k: v for k, v in named.items() if k in sql}
+        used = {t: load(spark, sf_dir, t) for t in TABLES if t in sql} | {k: shuffled(v) for k, v in named.items() if k in sql}
         for k, df in used.items():
             sql = _named(sql, k)
         named[n] = spark.sql(sql, **used)

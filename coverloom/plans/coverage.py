@@ -93,12 +93,16 @@ def refs(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("owner"), "ref")
 
 
-def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    els, docs, cases = corpus.elements(spark, sf_dir), claims(spark, sf_dir), tests(spark, sf_dir)
+def evidence_rows(spark: SparkSession, sf_dir: str, surface: str | None = None) -> DataFrame:
+    """All evidence, or that of one surface; a test's rows share their surface, so others go before one row is chosen."""
+    els, docs, cases = corpus.elements(spark, sf_dir), claims(spark, sf_dir), relation(spark, sf_dir, "raw_tests")
     none = F.array().cast("array<string>")
     first = lambda path: F.coalesce(F.try_element_at(evidence.categories(path, none, RULES), F.lit(1)), F.lit(""))
     docs = docs.withColumn("place", evidence.doc_bucket(F.col("kind"), F.col("adapter"), first(F.col("path")), F.col("tier")))
-    cases = cases.withColumn("place", evidence.test_bucket(first(F.col("path")), F.col("tier"))).withColumn("rank", F.lit(0))
+    place = evidence.test_bucket(first(F.col("path")), F.col("tier"))
+    if surface is not None:
+        docs, cases = docs.where(F.col("place").startswith(surface + "/")), cases.where(place.startswith(surface + "/"))
+    cases = merge.union_first(cases, "test_id", *TEST_ORDER).withColumn("place", place).withColumn("rank", F.lit(0))
     columns = ("ref", "place", "path", "line", "rank")
     doc_hits = matching.matched(docs.where(F.col("place").isNotNull()).select(*columns), matching.doc_keys(els)).drop("ref")
     test_hits = matching.matched(cases.select(*columns), matching.test_keys(els)).drop("ref")

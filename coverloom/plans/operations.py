@@ -20,7 +20,7 @@ TIMES = """SELECT path, 0 AS line, CAST(788918400 + doc_id * 37 % 500 * 86400 AS
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = corpus.elements(spark, sf_dir)
     inside = els.where("p_partkey % 9 = 0").select(F.col("id").alias("element_id"), "path", "line")
-    refs = evidence_rows(spark, sf_dir).where("surface = 'docs'").select("element_id", "path", "line").unionByName(inside)
+    refs = evidence_rows(spark, sf_dir, "docs").select("element_id", "path", "line").unionByName(inside)
     parts = {n: relation(spark, sf_dir, n) for n in ("claims", "file_times")}
     times = spark.sql(TIMES.replace("FROM claims", "FROM {claims}").replace("FROM file_times", "FROM {file_times}"), **parts)
     return rollups.lag_pairs(els, refs, times, tracked=times.select("path").where("path not like '%/fr/%'"))
