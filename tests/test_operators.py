@@ -81,6 +81,15 @@ def test_command_names_judge_a_case_once_without_broadcasts(spark):
     assert sorted(r.test_id for r in got.collect()) == ["a", "b"]
 
 
+def test_lags_of_rows_taken_for_small_join_without_broadcasts(spark):
+    els = spark.sql("SELECT * FROM VALUES ('e', 'a.go', 1), ('f', 'b.go', 1) AS t(id, path, line)")
+    refs = spark.sql("SELECT * FROM VALUES ('e', 'd.md', 3), ('g', 'd.md', 3) AS t(element_id, path, line)")
+    times = spark.sql("SELECT * FROM VALUES ('a.go', 0, 259200L), ('d.md', 3, 86400L) AS t(path, line, ts)")
+    got = rollups.lag_pairs(els, refs, times, times.select("path"))
+    assert "Broadcast" not in _plan(got)
+    assert [(r.element_id, r.inline, r.days) for r in got.collect()] == [("e", False, 2)]
+
+
 def test_sections_and_categories(spark):
     rules = [{"dotted_path": "docs.tutorial", "paths": ["a/**"], "section_excludes": ["options"]}, {"dotted_path": "docs.concepts", "paths": ["a/b/**"]}]
     rows = spark.createDataFrame([("a/x.md", ["Options"]), ("a/b/x.md", ["Options"]), ("a/x.md", []), ("z", [])], "p string, s array<string>")
