@@ -84,7 +84,7 @@ def inherited_keys(elements: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, key): each element under its own id and under those of the methods that it inherits."""
     own = elements.select("id", F.col("id").alias("key"))
     parents = edges.where("kind = 'INHERITED_FROM'").select(F.col("src_id").alias("id"), F.col("target_id").alias("key"))
-    return own.unionByName(parents.join(elements.select("id"), "id", "left_semi"))
+    return own.unionByName(parents.join(shuffled(elements.select("id")), "id", "left_semi"))
 
 
 def doc_matches(refs: DataFrame, elements: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -92,6 +92,19 @@ def doc_matches(refs: DataFrame, elements: DataFrame, edges: DataFrame | None =
     return matched(refs, doc_keys(elements, edges)).select("owner", "element_id").distinct()
 
 
+def doc_match_counts(refs: DataFrame, elements: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(element_id, n): the owners that doc_matches gives an element, without a row for each pair.
+
+    Owners of the same references are one class; a class meets the elements once and counts with its owners.
+    """
+    said = refs.where("ref is not null").groupBy("owner").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    classes = said.groupBy("refs").agg(F.count(F.lit(1)).alias("n"))
+    met = matched(classes.select("refs", "n", F.explode("refs").alias("ref")), doc_keys(elements, edges))
+    lone, several = met.where(F.size("refs") == 1), met.where(F.size("refs") > 1)
+    once = lone.select("element_id", "n").unionByName(several.select("refs", "element_id", "n").distinct().select("element_id", "n"))
+    return once.groupBy("element_id").agg(F.sum("n").alias("n"))
+
+
 def test_matches(refs: DataFrame, elements: DataFrame) -> DataFrame:
     """(owner, element_id), once each: exact, alias and wildcard."""
     return matched(refs, test_keys(elements)).select("owner", "element_id").distinct()

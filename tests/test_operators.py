@@ -90,6 +90,15 @@ def test_lags_of_rows_taken_for_small_join_without_broadcasts(spark):
     assert [(r.element_id, r.inline, r.days) for r in got.collect()] == [("e", False, 2)]
 
 
+def test_documentation_counts_owners_once_without_their_pairs(spark):
+    els = spark.sql("SELECT *, CAST(array() AS array<string>) AS aliases FROM VALUES ('lib/P.Open'), ('lib/Q.Open'), ('oth/P.Open') AS t(id)")
+    edges = spark.sql("SELECT * FROM VALUES ('lib/Q.Open', 'INHERITED_FROM', 'lib/P.Open'), ('x', 'INHERITED_FROM', 'y') AS t(src_id, kind, target_id)")
+    refs = spark.sql("SELECT * FROM VALUES ('a', 'P.Open'), ('a', 'lib/P.Open'), ('b', 'P.Open'), ('b', 'P.Open'), ('c', 'lib/Q.Open'), ('d', 'Nope'), ('e', NULL) AS t(owner, ref)")
+    pairs = matching.doc_matches(refs, els, edges).groupBy("element_id").agg(F.count(F.lit(1)).alias("n"))
+    got = {tuple(r) for r in matching.doc_match_counts(refs, els, edges).collect()}
+    assert got == {tuple(r) for r in pairs.collect()} == {("lib/P.Open", 2), ("lib/Q.Open", 3), ("oth/P.Open", 2)}
+
+
 def test_sections_and_categories(spark):
     rules = [{"dotted_path": "docs.tutorial", "paths": ["a/**"], "section_excludes": ["options"]}, {"dotted_path": "docs.concepts", "paths": ["a/b/**"]}]
     rows = spark.createDataFrame([("a/x.md", ["Options"]), ("a/b/x.md", ["Options"]), ("a/x.md", []), ("z", [])], "p string, s array<string>")
