@@ -23,13 +23,16 @@ from .corpus import load
 FIELDS = """SELECT CAST(p_partkey AS STRING) AS k, p_partkey AS key, replace(p_name, ' ', '_') AS snake, replace(p_name, ' ', '-') AS kebab,
     concat(upper(substr(p_name, 1, 1)), replace(substr(p_name, 2), ' ', 'Xy')) AS camel, replace(p_name, ' ', ',xy') AS words, replace(p_name, ' ', ',') AS plain, CASE WHEN p_partkey % 2 = 0 THEN 'bool' ELSE 'string' END AS vt FROM {part}"""
 _P = "WITH p AS (" + FIELDS.format(part="part") + ") "
+FILES_PER_TASK = 4096
 _NAMES = ("k", "snake", "kebab", "camel", "words", "plain", "vt")
 
 
 def sources(spark: SparkSession, sf_dir: str, path: str, text: str) -> DataFrame:
     """(path, text) of one file for each row of part."""
     reachable(spark)
-    rows = spark.sql(FIELDS, part=load(spark, sf_dir, "part"))
+    part = load(spark, sf_dir, "part")
+    # a small compressed file is one task, but many texts to parse
+    rows = spark.sql(FIELDS, part=part.repartition(-(-part.count() // FILES_PER_TASK) or 1))
 
     def filled(template: str) -> F.Column:
         out = F.lit(template)

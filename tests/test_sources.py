@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 import zipfile
+from pathlib import Path
 
 import pytest
 
@@ -235,3 +236,14 @@ def test_reference_pages_of_images_are_not_shared(spark):
     kinds = spark.createDataFrame([("SUBCOMMAND",), ("FLAG",), ("LIBRARY",), ("NEW",), (None,)], "kind string")
     got = kinds.select(matching.admits(kinds.kind, "name_tokens"), matching.admits(kinds.kind, "direct_ref")).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, True), (True, True), (False, True), (False, True)]
+
+
+def test_generated_files_are_dealt_over_tasks(spark):
+    from coverloom.plans import generated
+
+    sf_dir = "/root/testdata/sf0.1"
+    if not Path(sf_dir).exists():
+        pytest.skip("no driver tables")
+    rows = generated.sources(spark, sf_dir, "c<k>.yaml", generated.CRD)
+    assert rows.rdd.getNumPartitions() == 5
+    assert rows.count() == 20000
