@@ -16,6 +16,7 @@ def mention_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.scan(docs, lexicon).join(lexicon, "form").select("path", "element_id").distinct()
 
 
+PAGES_PER_TASK = 16384
 #: A page for each part: names, links, headings, emphasis and bare nouns in turn, on one common element and on the parts' own.
 PAGES = """SELECT concat('d', CAST(p_partkey AS STRING), '.md') AS path, CASE p_partkey % 8
     WHEN 0 THEN concat('# Intro\n\nUse part', CAST(p_partkey AS STRING), ' things.')
@@ -31,6 +32,8 @@ NAMES = """SELECT concat('lib', CAST(p_size AS STRING), '/Part', CAST(p_partkey
 
 def _grounding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = load(spark, sf_dir, "part")
+    # a small compressed file is one task, but many pages and names
+    part = part.repartition(-(-part.count() // PAGES_PER_TASK) or 1)
     forms = grounding.lexicon(spark.sql(NAMES, part=part))
     return forms, grounding.findings(spark.sql(PAGES, part=part), forms)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.graph import cut
+from ..operators.matching import shuffled
 from .docs import headings, stack_at
 
 #: Names' last words that are also ordinary English. Fixed values.
@@ -104,7 +105,7 @@ def possible_forms(docs: DataFrame, forms: DataFrame) -> DataFrame:
     # the words are a column of their own, so that they are cut once and not for each run
     split = docs.where(F.col("text").isNotNull()).select("path", _parts(F.col("text")).alias("parts"))
     asked = split.select("path", F.explode(F.array_distinct(F.flatten(F.transform("parts", at)))).alias("key"))
-    return asked.join(own, "key").groupBy("path").agg(F.collect_set("form").alias("forms"))
+    return asked.join(shuffled(own), "key").groupBy("path").agg(F.collect_set("form").alias("forms"))
 
 
 def scan(docs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def scan(docs: DataFrame, forms: DataFrame) -> DataFrame:
             for path, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 yield pa.RecordBatch.from_pylist([{"path": path, **m} for m in mentions(text, listed)], schema=schema)
 
-    held = docs.select("path", "text").join(possible_forms(docs, forms), "path")
+    held = docs.select("path", "text").join(shuffled(possible_forms(docs, forms)), "path")
     return held.select("path", "text", "forms").mapInArrow(run, MENTION)
 
 
@@ -260,7 +261,7 @@ def findings(docs: DataFrame, forms: DataFrame, suppressed: DataFrame | None = N
         F.max(~F.col("exact")).alias("tail"),
     )
     whole = F.regexp_replace(ascii_lower(F.col("token")), "s$", "") == ascii_lower(F.col("form"))
-    rows = hits.join(owners, "form").withColumn("element_id", F.when(whole, F.coalesce("named", "lowest")).otherwise(F.col("lowest")))
+    rows = hits.join(shuffled(owners), "form").withColumn("element_id", F.when(whole, F.coalesce("named", "lowest")).otherwise(F.col("lowest")))
     if suppressed is not None:
         rows = rows.join(suppressed.where("token = '*'").select("path").distinct(), "path", "left_anti")
         named = suppressed.where("token <> '*'").select(F.col("path").alias("p"), ascii_lower(F.col("token")).alias("t"), F.col("element_id").alias("e"))
@@ -269,12 +270,12 @@ def findings(docs: DataFrame, forms: DataFrame, suppressed: DataFrame | None = N
 
     # what binds an element in a section or names it above: mentions of any of the element's forms count
     listed = forms.select("element_id", "display", F.col("form").alias("own"))
-    wanted = rows.select("path", "place", "element_id", "title", "section").distinct().join(listed, "element_id")
-    shown = hits.join(owners.select("form", "exact"), "form").groupBy("path", "place", F.col("form").alias("own")).agg(
+    wanted = rows.select("path", "place", "element_id", "title", "section").distinct().join(shuffled(listed), "element_id")
+    shown = hits.join(shuffled(owners.select("form", "exact")), "form").groupBy("path", "place", F.col("form").alias("own")).agg(
         F.max("qualified").alias("qualified"), F.max(F.col("emphasised") & F.col("exact")).alias("defined"), F.array_distinct(F.flatten(F.collect_set("targets"))).alias("targets")
     )
     linked = F.exists("targets", lambda t: F.regexp_like(t, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), ascii_lower(F.col("display")), F.lit(r"\E(?![A-Za-z0-9_])"))))
-    bound = wanted.join(shown, ["path", "place", "own"], "left").groupBy("path", "place", "element_id", "display").agg(
+    bound = wanted.join(shuffled(shown), ["path", "place", "own"], "left").groupBy("path", "place", "element_id", "display").agg(
         F.coalesce(F.max("qualified"), F.lit(False)).alias("by_name"),
         F.coalesce(F.max("defined"), F.lit(False)).alias("by_term"),
         F.coalesce(F.max(linked), F.lit(False)).alias("by_link"),
@@ -282,10 +283,10 @@ def findings(docs: DataFrame, forms: DataFrame, suppressed: DataFrame | None = N
         F.max(F.exists("section", lambda h: _names(h, F.col("own")))).alias("in_heading"),
     )
     begins = hits.groupBy("path", F.col("form").alias("own")).agg(F.min("offset").alias("begin"))
-    earliest = rows.select("path", "element_id").distinct().join(listed, "element_id").join(begins, ["path", "own"]).groupBy("path", "element_id").agg(F.min("begin").alias("begin"))
+    earliest = rows.select("path", "element_id").distinct().join(shuffled(listed), "element_id").join(shuffled(begins), ["path", "own"]).groupBy("path", "element_id").agg(F.min("begin").alias("begin"))
     dense = hits.groupBy("path", "place").agg(F.count(F.lit(1)).alias("density"))
 
-    rows = rows.join(bound, ["path", "place", "element_id"]).join(earliest, ["path", "element_id"]).join(dense, ["path", "place"])
+    rows = rows.join(shuffled(bound), ["path", "place", "element_id"]).join(shuffled(earliest), ["path", "element_id"]).join(shuffled(dense), ["path", "place"])
     plain_name = F.col("exact") & ~F.col("collision")
     rows = rows.withColumn("first_use", (F.col("offset") == F.col("begin")) & (plain_name | F.col("qualified")))
     rows = rows.withColumn("state", state(plain_name | F.col("first_use") | F.col("by_name") | F.col("by_term") | F.col("by_link"), F.col("in_title") | F.col("in_heading") | F.col("soft") | (F.col("tail") & ~F.col("exact"))))
@@ -305,7 +306,7 @@ def state(confirmed: Column, hinted: Column) -> Column:
 def elements_found(forms: DataFrame, found: DataFrame) -> DataFrame:
     """Every element of a lexicon with its mentions by state and its best state."""
     counted = found.groupBy("element_id").agg(*(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("GROUNDED", "GUESSING", "UNGROUNDED")))
-    rows = forms.select("element_id", "display").distinct().join(counted, "element_id", "left").fillna(0, ["grounded", "guessing", "ungrounded"])
+    rows = forms.select("element_id", "display").distinct().join(shuffled(counted), "element_id", "left").fillna(0, ["grounded", "guessing", "ungrounded"])
     best = F.when(F.col("grounded") > 0, "GROUNDED").when(F.col("guessing") > 0, "GUESSING").when(F.col("ungrounded") > 0, "UNGROUNDED").otherwise("NOT_MENTIONED")
     return rows.withColumn("state", best)
 
