@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
+from .graph import cut
 from .matching import shuffled
 
 #: Surfaces that elements of a kind can have; reference is never counted by row. Fixed values.
@@ -158,10 +159,12 @@ def lag_pairs(elements: DataFrame, refs: DataFrame, times: DataFrame, tracked: D
     elements has (id, path, line), refs (element_id, path, line), times (path, line, ts), where line 0 is the whole
     file and stands in for lines without a time. tracked (path) limits times to files under version control.
     """
-    known = times.where("ts > 0")
+    known = times.where("ts > 0 AND line >= 0").groupBy("path", "line").agg(F.max("ts").alias("ts"))
     known = known if tracked is None else known.join(shuffled(tracked.select("path").distinct()), "path", "left_semi")
-    by_line = known.where("line > 0").groupBy("path", "line").agg(F.max("ts").alias("line_ts"))
-    by_file = known.where("line = 0").groupBy("path").agg(F.max("ts").alias("file_ts"))
+    # four joins read the times, so they are written once and the plan doesn't hold what they come from four times
+    known = cut(known)
+    by_line = known.where("line > 0").select("path", "line", F.col("ts").alias("line_ts"))
+    by_file = known.where("line = 0").select("path", F.col("ts").alias("file_ts"))
 
     def timed(rows: DataFrame, name: str) -> DataFrame:
         out = rows.join(shuffled(by_line), ["path", "line"], "left").join(shuffled(by_file), "path", "left")

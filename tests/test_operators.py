@@ -90,6 +90,15 @@ def test_lags_of_rows_taken_for_small_join_without_broadcasts(spark):
     assert [(r.element_id, r.inline, r.days) for r in got.collect()] == [("e", False, 2)]
 
 
+def test_lags_write_their_times_once_before_four_joins_read_them(spark):
+    els = spark.sql("SELECT * FROM VALUES ('e', 'a.go', 1), ('f', 'b.go', 1) AS t(id, path, line)")
+    refs = spark.sql("SELECT * FROM VALUES ('e', 'd.md', 3), ('f', 'd.md', 4), ('f', 'n.md', 1) AS t(element_id, path, line)")
+    times = spark.sql("SELECT * FROM VALUES ('a.go', 0, 259200L), ('b.go', 0, 259200L), ('d.md', 3, 0L), ('d.md', 3, 86400L), ('d.md', 0, 172800L), ('d.md', -1, 1L), ('n.md', 0, 1L) AS t(path, line, ts)")
+    got = rollups.lag_pairs(els, refs, times, times.select("path").where("path <> 'n.md'"))
+    assert _plan(got).count("SortMergeJoin") == 5  # a line's and a file's time of code and of text, and the two together
+    assert sorted((r.element_id, r.path, r.days) for r in got.collect()) == [("e", "d.md", 2), ("f", "d.md", 1), ("f", "n.md", None)]
+
+
 def test_documentation_counts_owners_once_without_their_pairs(spark):
     els = spark.sql("SELECT *, CAST(array() AS array<string>) AS aliases FROM VALUES ('lib/P.Open'), ('lib/Q.Open'), ('oth/P.Open') AS t(id)")
     edges = spark.sql("SELECT * FROM VALUES ('lib/Q.Open', 'INHERITED_FROM', 'lib/P.Open'), ('x', 'INHERITED_FROM', 'y') AS t(src_id, kind, target_id)")
