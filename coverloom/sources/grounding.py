@@ -1,9 +1,10 @@
 """Mentions of contract elements in prose, and whether a page ties each one to its element.
 
-A lexicon names elements by surface forms (form, element_id, display, collision, exact). Documents meet the
-forms in an equi join on hashes of one to three words, so neither side goes to the driver and a lexicon may
-have any size; then each document is read once, with the forms that it may hold. Longer forms claim their
-characters first. Letters A-Z match in either case, and one final s may follow a form.
+A lexicon names elements by surface forms (form, element_id, display, collision, exact). A document is read with
+the forms that it may hold: those whose first words, three at most, stand in it. Few forms, by a count against a
+bound, go to the workers whole, which look up each document's runs of words; others meet the documents in an equi
+join on hashes of these runs, so a lexicon may have any size. Longer forms claim their characters first. Letters
+A-Z match in either case, and one final s may follow a form.
 
 Defined cases: null texts and empty forms give nothing; forms without a word character are never found.
 """
@@ -11,7 +12,7 @@ Defined cases: null texts and empty forms give nothing; forms without a word cha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,8 @@ COMMON_NOUNS = (
 )
 SHORTEST = 3
 KEY_WORDS = 3
+#: A lexicon of more forms, or more characters in them, is joined.
+FEW_FORMS, FEW_CHARS = 1 << 16, 1 << 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII = str.maketrans(_UPPER, _LOWER)
 
@@ -43,6 +46,7 @@ _REFERENCE = re.compile(r"\[([^\]]+)\]\[([^\]]*)\]")
 _DEFINITION = re.compile(r"(?m)^[ \t]{0,3}\[([^\]]+)\]:[ \t]*(\S+)")
 _BRACKET = re.compile(r"\[([^\]]+)\]")
 _WORD = re.compile(r"[a-z0-9_]+")
+_WORD_BYTES = re.compile(rb"[a-z0-9_]+")
 
 MENTION = (
     "path string, offset int, line int, section array<string>, title string, excerpt string, token string, span int, form string, "
@@ -108,8 +112,60 @@ def possible_forms(docs: DataFrame, forms: DataFrame) -> DataFrame:
     return asked.join(shuffled(own), "key").groupBy("path").agg(F.collect_set("form").alias("forms"))
 
 
-def scan(docs: DataFrame, forms: DataFrame) -> DataFrame:
-    """Mentions of forms (form) in docs (path, text), one row each, with what their place shows: columns MENTION."""
+def few_forms(forms: DataFrame, most: int = FEW_FORMS) -> list[str] | None:
+    """The distinct forms, or None where they are more than `most` or have over FEW_CHARS characters."""
+    own = forms.select("form").where(F.col("form").isNotNull()).distinct()
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("form")), F.lit(0)).alias("chars")).first()
+    return [r.form for r in own.collect()] if size.n <= most and size.chars <= FEW_CHARS else None
+
+
+def runs_of(forms: list[str]) -> dict[int, dict[tuple[bytes, ...], list[tuple[bytes, str]]]]:
+    """By number of words: the first words of forms, three at most, the last also with an s, to (text up to the last word, form)."""
+    out: dict[int, dict[tuple[bytes, ...], list[tuple[bytes, str]]]] = {}
+    for form in forms:
+        low = form.encode().lower()
+        first = list(_WORD_BYTES.finditer(low))[:KEY_WORDS]
+        if first:
+            words, by_words = [m[0] for m in first], out.setdefault(len(first), {})
+            for last in (words[-1], words[-1] + b"s"):
+                by_words.setdefault((*words[:-1], last), []).append((low[first[0].start() : first[-1].end()], form))
+    return out
+
+
+def _stands(low: bytes, run: bytes) -> bool:
+    """Whether a text in lower case holds a run from its first to its last word, or with one final s."""
+    at = low.find(run)
+    while at >= 0:
+        end = at + len(run)
+        if not (at and _WORD_BYTES.match(low, at - 1)):
+            after = _WORD_BYTES.match(low, end)
+            if after is None or after[0] == b"s":
+                return True
+        at = low.find(run, at + 1)
+    return False
+
+
+def holder(forms: list[str]) -> Callable[[str], list[str]]:
+    """A function from a text to those of few forms that possible_forms gives it."""
+    runs = runs_of(forms)
+    keys = {width: frozenset(by_words) for width, by_words in runs.items()}
+
+    def held(text: str) -> list[str]:
+        low = text.encode().lower()
+        words, out = _WORD_BYTES.findall(low), set()
+        for width, known in keys.items():
+            for key in known & set(zip(*(words[k:] for k in range(width)), strict=False)):
+                out.update(form for run, form in runs[width][key] if form not in out and _stands(low, run))
+        return sorted(out)
+
+    return held
+
+
+def scan(docs: DataFrame, forms: DataFrame, most: int = FEW_FORMS) -> DataFrame:
+    """Mentions of forms (form) in docs (path, text), one row each, with what their place shows: columns MENTION.
+
+    The forms are counted, and joined if they are more than `most`; 0 joins them uncounted.
+    """
     schema = pa.schema(
         [
             ("path", pa.string()), ("offset", pa.int32()), ("line", pa.int32()), ("section", pa.list_(pa.string())), ("title", pa.string()),
@@ -117,31 +173,48 @@ def scan(docs: DataFrame, forms: DataFrame) -> DataFrame:
             ("emphasised", pa.bool_()), ("targets", pa.list_(pa.string())), ("soft", pa.bool_()),
         ]
     )
+    few = few_forms(forms, most) if most else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 yield pa.RecordBatch.from_pylist([{"path": path, **m} for m in mentions(text, listed)], schema=schema)
 
+    def run_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = holder(few)
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                listed = held(said := text.as_py())
+                if listed:
+                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), **m} for m in mentions(said, listed)], schema=schema)
+
+    if few is not None:
+        return docs.select("path", "text").where("path is not null and text is not null").mapInArrow(run_few, MENTION)
     held = docs.select("path", "text").join(shuffled(possible_forms(docs, forms)), "path")
     return held.select("path", "text", "forms").mapInArrow(run, MENTION)
 
 
+def _lower(s: str) -> str:
+    """Letters A-Z in lower case, others as they are."""
+    return s.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def claims(text: str, forms: list[str]) -> list[tuple[int, int, str]]:
     """(start, end, form) of the forms in prose: forms of more words first, then longer ones, then by name; no character twice."""
-    prose = text.translate(_ASCII)
+    prose = _lower(text)
     for blank in (_FENCE, _HEADING):
         prose = blank.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), prose)
-    by_word: dict[str, list[tuple[int, str]]] = {}
+    by_word: dict[str, list[tuple[int, str, str]]] = {}
     for form in forms:
-        first = _WORD.search(form.translate(_ASCII))
+        low = _lower(form)
+        first = _WORD.search(low)
         if first:
-            by_word.setdefault(first[0], []).append((first.start(), form))
+            by_word.setdefault(first[0], []).append((first.start(), low, form))
     found = []
     for word in _WORD.finditer(prose):
         w = word[0]
-        for lead, form in by_word.get(w, []) + (by_word.get(w[:-1], []) if w.endswith("s") else []):
-            start, low = word.start() - lead, form.translate(_ASCII)
+        for lead, low, form in by_word.get(w, []) + (by_word.get(w[:-1], []) if w.endswith("s") else []):
+            start = word.start() - lead
             if start < 0 or not prose.startswith(low, start) or (start and _WORD.match(prose[start - 1])):
                 continue
             end = start + len(low)
@@ -251,7 +324,8 @@ def findings(docs: DataFrame, forms: DataFrame, suppressed: DataFrame | None = N
     mentions are GROUNDED; a title or heading that names the element, or a weak hint, makes GUESSING; the rest are
     UNGROUNDED. `suppressed` has (path, token, element_id): token * stands for all, a null element for any.
     """
-    hits = cut(scan(docs, forms).withColumn("place", F.array_join("section", "›")))
+    # a lexicon has a form and more for each element
+    hits = cut(scan(docs, forms, most=0).withColumn("place", F.array_join("section", "›")))
     owners = forms.groupBy("form").agg(
         F.min("element_id").alias("lowest"),
         F.min(F.when(F.col("exact"), F.col("element_id"))).alias("named"),

@@ -137,6 +137,23 @@ def test_mentions_claim_the_longest_form(spark):
     assert got == [("d", 15, "open dir", "open dir", False), ("d", 28, "open", "opens", False), ("d", 36, "open", "open", True), ("d", 43, "open", "open", False)]
 
 
+def test_few_forms_are_looked_up_without_a_row_for_each_run_of_words(spark):
+    from coverloom.sources import grounding
+
+    texts = [
+        "Open dirs, the open  dir, reopen dir and never more.", "OPEN DIR AND NEVER; open dir andé; a_b c s d", "# open\n```\nopen dir\n```\nÉopen dir and never-evers", "x", "", None,
+        "keys key KEYS keyss", "open dir and neversé", "(key) a-b-c-d. a-b-cs-d a-b c-d", "-- : ñ", "open" * 3 + " open dir and never",
+    ]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)] + [("d0", "key"), (None, "key")], "path string, text string")
+    forms = spark.createDataFrame([(f,) for f in ("open dir", "Open Dir and never", "open", "key", "keys", "a-b-c-d", "a-b", "(key)", "é", "", "--", "s d", None, "open", "and never.")], "form string")
+    got, joined = grounding.scan(docs, forms), grounding.scan(docs, forms, most=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    assert sorted(map(str, got.collect())) == sorted(map(str, joined.collect()))
+    assert got.count() == 17
+    assert grounding.few_forms(forms, 11) is None and len(grounding.few_forms(forms, 13)) == 13
+
+
 def test_lexicon_forms(spark):
     from coverloom.sources import grounding
 
