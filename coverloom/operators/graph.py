@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .matching import shuffled
+
+#: Ids in an array of facade_edges, and backends for each of its tasks.
+EDGE_BLOCK, BACKENDS_PER_TASK = 2048, 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -94,11 +98,31 @@ def affordances(elements: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
     return pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.round(F.least(score, F.lit(0.95)), 2).alias("score"))
 
 
+def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """(library, local, name): the ids of each library and local name in arrays of EDGE_BLOCK at most. n: the number of rows.
+
+    Rows of a key are numbered by parts of about EDGE_BLOCK * 128 rows, so a frequent key isn't one task.
+    """
+    own = rows.where("library is not null and local is not null and id is not null")
+    part = F.pmod(F.xxhash64("id"), F.lit(-(-n // (EDGE_BLOCK * 128)) or 1))
+    place = F.row_number().over(W.partitionBy("library", "local", "part").orderBy("id"))
+    own = own.select("library", "local", "id", part.alias("part")).withColumn("block", F.floor((place - 1) / EDGE_BLOCK))
+    return own.groupBy("library", "local", "part", "block").agg(F.collect_list("id").alias(name)).select("library", "local", name)
+
+
 def facade_edges(backends: DataFrame, path_map: DataFrame, module_map: DataFrame, facades: DataFrame) -> DataFrame:
-    """Backend element to facade element of the same local name: the path decides, else the module."""
+    """Backend element to facade element of the same local name: the path decides, else the module.
+
+    Edges grow with the square of a name's elements, so arrays of ids are joined and dealt evenly over tasks, and
+    each task writes out the pairs of its arrays.
+    """
     out = backends.join(path_map.select("path", F.col("facade").alias("by_path")), "path", "left").join(module_map.select("module", F.col("facade").alias("by_module")), "module", "left")
     out = out.withColumn("library", F.coalesce("by_path", "by_module"))
-    return out.join(facades.select(F.col("id").alias("facade_id"), "library", "local"), ["library", "local"]).select(F.col("id").alias("src_id"), "facade_id").where("src_id <> facade_id")
+    n = backends.count()
+    met = _blocks(out, n, "sources").join(shuffled(_blocks(facades, facades.count(), "targets")), ["library", "local"])
+    dealt = met.select("sources", "targets").repartition(-(-n // BACKENDS_PER_TASK) or 1)
+    pairs = dealt.select(F.explode("sources").alias("src_id"), "targets").select("src_id", F.explode("targets").alias("facade_id"))
+    return pairs.where("src_id <> facade_id")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
