@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .matching import shuffled
 
-#: Ids in an array of facade_edges, and backends for each of its tasks.
-EDGE_BLOCK, BACKENDS_PER_TASK = 2048, 4096
+#: Ids in an array of facade_edges, backends of such an array that are opened at once, and backends for each of its tasks.
+EDGE_BLOCK, EDGE_SLICE, BACKENDS_PER_TASK = 2048, 8, 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -114,14 +114,18 @@ def facade_edges(backends: DataFrame, path_map: DataFrame, module_map: DataFrame
     """Backend element to facade element of the same local name: the path decides, else the module.
 
     Edges grow with the square of a name's elements, so arrays of ids are joined and dealt evenly over tasks, and
-    each task writes out the pairs of its arrays.
+    each task writes out the pairs of its arrays. Spark compiles nested explodes into one loop, which holds a copy of all
+    rows that it makes of an input row. An operator with a lambda is never compiled, so the slices that it cuts
+    arrive one by one, and EDGE_SLICE * EDGE_BLOCK pairs are held at most.
     """
     out = backends.join(path_map.select("path", F.col("facade").alias("by_path")), "path", "left").join(module_map.select("module", F.col("facade").alias("by_module")), "module", "left")
     out = out.withColumn("library", F.coalesce("by_path", "by_module"))
     n = backends.count()
     met = _blocks(out, n, "sources").join(shuffled(_blocks(facades, facades.count(), "targets")), ["library", "local"])
     dealt = met.select("sources", "targets").repartition(-(-n // BACKENDS_PER_TASK) or 1)
-    pairs = dealt.select(F.explode("sources").alias("src_id"), "targets").select("src_id", F.explode("targets").alias("facade_id"))
+    starts = F.sequence(F.lit(1), F.size("sources"), F.lit(EDGE_SLICE))
+    few = dealt.select(F.explode(F.transform(starts, lambda i: F.slice("sources", i, EDGE_SLICE))).alias("few"), "targets")
+    pairs = few.select(F.explode("few").alias("src_id"), "targets").select("src_id", F.explode("targets").alias("facade_id"))
     return pairs.where("src_id <> facade_id")
 
 

@@ -161,6 +161,18 @@ def test_facade_edges_join_arrays_of_ids(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_facade_edges_open_few_pairs_at_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGE_SLICE", 3)
+    backends = spark.range(10).selectExpr("concat('b', id) AS id", "'p' AS path", "'m' AS module", "'x' AS local")
+    paths, modules = spark.sql("SELECT 'p' AS path, 'L' AS facade"), spark.sql("SELECT 'm' AS module, 'M' AS facade")
+    facades = spark.range(7).selectExpr("concat('f', id) AS id", "'L' AS library", "'x' AS local")
+    got = graph.facade_edges(backends, paths, modules, facades)
+    assert sorted(map(tuple, got.collect())) == sorted((f"b{i}", f"f{j}") for i in range(10) for j in range(7))
+    # slices of sources are cut outside the compiled loop (*) that holds all pairs of its input row
+    made = [x.strip(" :+-") for x in got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Generate explode(" in x]
+    assert len(made) == 3 and [x.startswith("*") for x in made] == [True, True, False]
+
+
 def test_lag_and_chips(spark):
     got = spark.range(1).select(rollups.lag_days(F.lit(200000), F.lit(86400)), rollups.lag_bucket(F.lit(40)), rollups.tier_sentence(F.lit(60))).first()
     assert list(got) == [1, "AGING", "high"]
